@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def clean_digest(c: Column | str) -> Column:
     """Digests are compared lower-case and trimmed of any white space; null stays null."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    return F.lower(F.trim(c, F.lit(" \t\r\n\f\v")))
 
 
 def once(df: DataFrame, id_col: str) -> DataFrame:
