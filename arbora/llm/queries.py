@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm.components import connected_components
+from arbora.llm.neardup import near_duplicates
 from arbora.sources.tables import table
 
 
@@ -14,7 +15,13 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return connected_components(table(spark, sf, "edges").where(F.col("dist").isNotNull()))
 
 
-QUERIES = {"p1_found": p1_found}
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of different records of `fingerprints` with bag similarity of 0.7 or more."""
+    pairs = near_duplicates(table(spark, sf, "fingerprints"), "fp_id", "subs", 0.7)
+    return pairs.select(F.col("id_a").alias("fp_id_a"), F.col("id_b").alias("fp_id_b"))
+
+
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found}
 
 SQL = {
     "p1_found": """
@@ -22,4 +29,10 @@ SQL = {
         both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
         reach(node, other) AS (SELECT x, x FROM both_ways UNION SELECT r.node, b.y FROM reach r JOIN both_ways b ON r.other = b.x)
         SELECT node, min(other) AS component FROM reach GROUP BY node""",
+    "p5_found": """
+        WITH r AS (SELECT fp_id, any_value(subs) AS subs FROM fingerprints GROUP BY fp_id),
+        t AS (SELECT fp_id, lower(trim(s.digest, e' \t\n\r')) AS d, count(*) AS n FROM (SELECT fp_id, unnest(subs) AS s FROM r) WHERE s.digest IS NOT NULL GROUP BY 1, 2),
+        w AS (SELECT fp_id, sum(n) AS total FROM t GROUP BY fp_id),
+        c AS (SELECT a.fp_id AS fp_id_a, b.fp_id AS fp_id_b, sum(least(a.n, b.n)) AS shared FROM t a JOIN t b ON a.d = b.d AND a.fp_id < b.fp_id GROUP BY 1, 2)
+        SELECT fp_id_a, fp_id_b FROM c JOIN w x ON x.fp_id = fp_id_a JOIN w y ON y.fp_id = fp_id_b WHERE shared / (x.total + y.total - shared) >= 0.7""",
 }
