@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm.components import connected_components
+from arbora.llm.incremental import History, cluster_updates, link_batch
 from arbora.llm.neardup import near_duplicates
 from arbora.sources.tables import table
 
@@ -15,13 +16,28 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return connected_components(table(spark, sf, "edges").where(F.col("dist").isNotNull()))
 
 
+def _linked(spark: SparkSession, sf: str):
+    history = History.build(table(spark, sf, "clone_db").select("entry_id", "weight", "digest", "subs"), "entry_id", 0.7)
+    return link_batch(history, table(spark, sf, "main_hash_list").select("hash_id", "batch_no", "weight", "digest", "subs"), "hash_id", ["batch_no", "hash_id"])
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of `main_hash_list` that repeat a record of `clone_db` or an earlier accepted record."""
+    return _linked(spark, sf).decided.where("found_in is not null").select(F.col("id").alias("hash_id"))
+
+
+def p2_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """The clusters of bags that the batches touched: one representative per bag."""
+    return cluster_updates(_linked(spark, sf))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of different records of `fingerprints` with bag similarity of 0.7 or more."""
     pairs = near_duplicates(table(spark, sf, "fingerprints"), "fp_id", "subs", 0.7)
     return pairs.select(F.col("id_a").alias("fp_id_a"), F.col("id_b").alias("fp_id_b"))
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found}
 
 SQL = {
     "p1_found": """
