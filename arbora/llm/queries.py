@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from arbora.llm.components import connected_components
 from arbora.llm.incremental import History, cluster_updates, link_batch
 from arbora.llm.neardup import near_duplicates
+from arbora.llm.spam import find_spam
 from arbora.sources.tables import table
 
 
@@ -37,7 +38,12 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("fp_id_a"), F.col("id_b").alias("fp_id_b"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents where most cues are keyword lists, links or tags."""
+    return find_spam(table(spark, sf, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
+
+
+QUERIES = {"p8_found": p8_found, "p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found}
 
 SQL = {
     "p1_found": """
