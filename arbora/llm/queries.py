@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arbora.llm.components import connected_components
 from arbora.llm.incremental import History, cluster_updates, link_batch
+from arbora.llm.leaks import find_leaks
 from arbora.llm.neardup import near_duplicates
 from arbora.llm.spam import find_spam
 from arbora.sources.tables import table
@@ -38,12 +39,18 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("fp_id_a"), F.col("id_b").alias("fp_id_b"))
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose spoken text repeats at least 15 words in a row of an evaluation item."""
+    found = find_leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents where most cues are keyword lists, links or tags."""
     return find_spam(table(spark, sf, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {"p8_found": p8_found, "p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found}
+QUERIES = {"p7_found": p7_found, "p8_found": p8_found, "p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found}
 
 SQL = {
     "p1_found": """
