@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm.components import connected_components
+from arbora.llm.handwritten import not_handwritten
 from arbora.llm.incremental import History, cluster_updates, link_batch
 from arbora.llm.leaks import find_leaks
 from arbora.llm.neardup import near_duplicates
@@ -33,6 +34,11 @@ def p2_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return cluster_updates(_linked(spark, sf))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of `units` that were not written by hand for their package."""
+    return not_handwritten(table(spark, sf, "units")).select(F.col("id").alias("unit_id"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of different records of `fingerprints` with bag similarity of 0.7 or more."""
     pairs = near_duplicates(table(spark, sf, "fingerprints"), "fp_id", "subs", 0.7)
@@ -50,7 +56,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return find_spam(table(spark, sf, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {"p7_found": p7_found, "p8_found": p8_found, "p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found}
+QUERIES = {"p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found}
 
 SQL = {
     "p1_found": """
