@@ -10,6 +10,7 @@ from arbora.llm.handwritten import not_handwritten
 from arbora.llm.incremental import History, cluster_updates, link_batch
 from arbora.llm.leaks import find_leaks
 from arbora.llm.neardup import near_duplicates
+from arbora.llm.packing import fill_report, pack, token_sizes
 from arbora.llm.spam import find_spam
 from arbora.sources.tables import table
 
@@ -45,6 +46,16 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("fp_id_a"), F.col("id_b").alias("fp_id_b"))
 
 
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's place in containers of 2,048 tokens."""
+    return pack(token_sizes(table(spark, sf, "documents"), "doc_id", "text"), 2048).withColumnRenamed("id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How full the containers are."""
+    return fill_report(p6_containers(spark, sf))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents whose spoken text repeats at least 15 words in a row of an evaluation item."""
     found = find_leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
@@ -56,7 +67,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return find_spam(table(spark, sf, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {"p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found}
+QUERIES = {"p6_containers": p6_containers, "p6_fill": p6_fill, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found}
 
 SQL = {
     "p1_found": """
