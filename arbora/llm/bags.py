@@ -29,8 +29,8 @@ def tokens(subs: str | Column) -> Column:
 
 
 def keyed(df: DataFrame, id_col: str, subs_col: str, *keep: str) -> DataFrame:
-    """id, the kept columns, the tokens and a 128-bit key of the bag; rows with a null or empty bag are left out."""
-    out = df.select(F.col(id_col).alias("id"), *keep, tokens(subs_col).alias("tokens")).where(F.size("tokens") > 0)
+    """id, the kept columns, the tokens and a 128-bit key of the bag; rows with a null id and null or empty bags are left out."""
+    out = df.select(F.col(id_col).alias("id"), *keep, tokens(subs_col).alias("tokens")).where((F.size("tokens") > 0) & F.col("id").isNotNull())
     return out.withColumn("k1", F.xxhash64("tokens")).withColumn("k2", F.xxhash64(F.lit(7), F.col("tokens")))
 
 

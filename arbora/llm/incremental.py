@@ -126,7 +126,7 @@ def link_batch(history: History, batch: DataFrame, id_col: str, order: list[str]
 
     decided has (id, found_in): 'history' or 'batch' for a case, null for an accepted record.
 
-    Defined results: a null weight or digest equals nothing; a null or empty bag is similar to nothing; a repeated
+    Defined results: a row without id is left out; a null weight or digest equals nothing; a null or empty bag is similar to nothing; a repeated
     id is one record; ties in the order are broken by nothing, so the order columns should end with the id; null
     order columns come first; labels and all other columns are ignored; an empty batch or history is fine."""
     spark, t, scratch = batch.sparkSession, history.threshold, history.scratch
@@ -135,7 +135,7 @@ def link_batch(history: History, batch: DataFrame, id_col: str, order: list[str]
     who = members(rows, bags)
     records = (
         batch.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], "weight", clean_digest("digest").alias("digest"))
-        .dropDuplicates(["id"])
+        .where("id is not null").dropDuplicates(["id"])
         .repartitionByRange(*[f"_o{i}" for i in range(len(order))]).sortWithinPartitions(*[f"_o{i}" for i in range(len(order))])
         .select(F.monotonically_increasing_id().alias("at"), "id", "weight", "digest")
     )

@@ -125,7 +125,7 @@ def similar_bags(bags: DataFrame, threshold: float, scratch: Scratch, trees: int
 def near_duplicates(df: DataFrame, id_col: str, subs_col: str, threshold: float = 0.7, **forest) -> DataFrame:
     """(id_a, id_b, sim), id_a < id_b: pairs of different records with bag similarity of threshold or more.
 
-    Defined results: a null or empty bag is similar to nothing; entries without digest are ignored; a repeated id
+    Defined results: a row without id is left out; a null or empty bag is similar to nothing; entries without digest are ignored; a repeated id
     is one record; exact copies of a bag (any number) come from a join on the bag, not through the forest; an empty
     table gives no pairs; other columns are ignored."""
     scratch = Scratch(df.sparkSession, "neardup")

@@ -16,6 +16,7 @@ is spread evenly; the patterns (at most one per bucket) are all the driver makes
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,9 @@ from arbora.operators.skew import number_within_keys
 from arbora.session import Scratch
 
 TOKENIZERS = "/opt/tokenizers"
+#: Fixed value: the pattern of the vocabulary's public tokenizer.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_LONG_GAP = re.compile(r"\s{2000}")
 
 
 def load_tokenizer(path: str):
@@ -35,9 +39,16 @@ def load_tokenizer(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    # the usual pattern of this vocabulary's public tokenizer
-    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def count_tokens(encoding, text: str) -> int:
+    """Tokens of a text of any shape: the library's own splitter overflows its stack on very long runs of white space."""
+    if not _LONG_GAP.search(text):
+        return len(encoding.encode_ordinary(text))
+    import regex
+
+    return sum(len(encoding._encode_single_piece(piece.encode())) for piece in regex.findall(PATTERN, text))
 
 
 def token_sizes(docs: DataFrame, id_col: str, text_col: str, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
@@ -46,7 +57,7 @@ def token_sizes(docs: DataFrame, id_col: str, text_col: str, tokenizer: str = f"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = load_tokenizer(tokenizer)
         for b in batches:
-            sizes = [len(encoding.encode_ordinary(t)) for t in b.column("text").to_pylist()]
+            sizes = [count_tokens(encoding, t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes, pa.int64())], ["id", "tokens"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")

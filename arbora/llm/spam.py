@@ -105,10 +105,10 @@ def spam_cues(text: str, pmi: dict[str, tuple[float, bool]], common: set[str]) -
 def find_spam(docs: DataFrame, id_col: str, text_col: str, share: float = 0.5, support: float = 2e-4, function_share: float = 0.03, rare_share: float = 0.01, flush: int = 400_000) -> DataFrame:
     """(id, spam_share) of the documents where more than `share` of the cues are spam.
 
-    Defined results: a null or empty text is no spam; a repeated id is one document; a document without words and
+    Defined results: a null id, a null or an empty text is no spam; a repeated id is one document; a document without words and
     links is no spam; other columns are ignored."""
     scratch = Scratch(docs.sparkSession, "spam")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     counts = scratch.write(texts.select("text").mapInArrow(_count(flush), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")), "counts")
     n_docs = (counts.where("term = ''").select("n").first() or [0])[0]
     least = max(3, math.ceil(support * n_docs))
