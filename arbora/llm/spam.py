@@ -96,8 +96,9 @@ def spam_cues(text: str, pmi: dict[str, tuple[float, bool]], common: set[str]) -
         mean = total / len(pairs) if pairs else FLOOR
         often = most / len(different) if most >= 3 else 0.0
         listing = len(_LISTING.findall(cue)) >= max(2, 0.25 * len(words))
-        plain = sum(w in common for w in words) < 0.44 * len(words)
-        if (mean < -1.35 and (often >= 0.12 or listing and pairs)) or (often >= 0.12 and listing) or (often >= 0.2 and plain):
+        bare = sum(w in common for w in words) < 0.2 * len(words)
+        stuffed = len(words) >= 4 and 2 * len(set(words)) <= len(words)
+        if (mean < -1.35 and (often >= 0.12 or listing and pairs)) or (often >= 0.12 and (listing or stuffed or bare)):
             spam += 1
     return spam, len(found)
 
