@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.model import KIND_CLASSES
+from arbora.session import Scratch
 
 
-def exact_classes(rows: DataFrame, label: str = "label") -> DataFrame:
-    """(weight, digest, labels sorted): all labels of each main fingerprint, copies kept."""
-    return rows.groupBy("weight", "digest").agg(F.sort_array(F.collect_list(label)).alias("labels"))
+def class_counts(rows: DataFrame, least: int = 2) -> DataFrame:
+    """(weight, digest, n) of the main fingerprints with at least `least` rows."""
+    return rows.groupBy("weight", "digest").agg(F.count(F.lit(1)).cast("bigint").alias("n")).where(F.col("n") >= least)
+
+
+def exact_classes(rows: DataFrame, label: str = "label", least: int = 2) -> DataFrame:
+    """(weight, digest, label, n): the members of every class with at least `least` rows, copies kept (A1, A2).
+
+    A class stays rows, whatever its size; class_lists packs classes known to be small into arrays."""
+    counts = Scratch(rows.sparkSession, "classes").write(class_counts(rows, least), "counts")
+    return rows.select("weight", "digest", F.col(label).alias("label")).join(counts, ["weight", "digest"])
+
+
+def class_lists(members: DataFrame, most: int = 10_000) -> DataFrame:
+    """(weight, digest, labels sorted) of the classes of up to `most` members; larger ones stay in exact_classes' rows."""
+    return members.where(F.col("n") <= most).groupBy("weight", "digest").agg(F.sort_array(F.collect_list("label")).alias("labels"))
 
 
 def first_bag(rows: DataFrame, order: str) -> DataFrame:
@@ -18,11 +32,6 @@ def first_bag(rows: DataFrame, order: str) -> DataFrame:
     return rows.groupBy("weight", "digest").agg(F.sort_array(F.min_by("subs", order)).alias("subs"))
 
 
-def class_rows(classes: DataFrame) -> DataFrame:
-    """Classes as (weight, digest, label) rows, the shape in which databases are stored and joined."""
-    return classes.select("weight", "digest", F.explode("labels").alias("label"))
-
-
 def write_database(rows: DataFrame, path: str, mode: str = "overwrite", partitions: int | None = None) -> None:
     """Rows (weight, digest, label), one per label: a key with any number of labels stays many rows, never one."""
     out = rows.select("weight", "digest", "label").withColumn("kind", F.lit(KIND_CLASSES))
@@ -49,23 +58,30 @@ def upsert(database: DataFrame, own: DataFrame) -> DataFrame:
 def clone_matches(own: DataFrame, database: DataFrame, label: str = "label") -> DataFrame:
     """Own rows joined with the database's labels of the same fingerprint, the own name left out.
 
-    database rows are (weight, digest, label); rows of own without any other label don't come out."""
+    Every pair of a fingerprint comes out: for small or unlimited reports; clone_report counts without pairs. database rows are (weight, digest, label); rows of own without any other label don't come out."""
     other = database.select("weight", "digest", F.col("label").alias("other"))
     return own.join(other, ["weight", "digest"]).where(F.col(label) != F.col("other"))
 
 
-def clone_report(matches: DataFrame, keys: list[str], limit: int = 10) -> DataFrame:
-    """keys, the number of all matches, and at most limit names in order (K4); limit <= 0 lists none.
+def clone_report(own: DataFrame, database: DataFrame, keys: list[str], label: str = "label", limit: int = 10) -> DataFrame:
+    """keys of own, the number of all other labels of its fingerprint, and at most limit of them in order.
 
-    The names come from a bounded top-k per group, so a key matching a third of all labels is no single huge row."""
-    total = matches.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("n_matches"))
+    Equal to counting clone_matches, but no pair is ever formed: a fingerprint's labels are counted per label and cut
+    to the first limit + 1 different ones before they meet own rows, so own and database rows of one hot fingerprint
+    cost one row each. Rows of own without any other label don't come out; limit <= 0 lists no names."""
+    per_label = Scratch(own.sparkSession, "report").write(
+        database.where("weight is not null and digest is not null and label is not null").groupBy("weight", "digest", F.col("label").alias("other")).agg(F.count(F.lit(1)).alias("k")), "labels")
+    total = per_label.groupBy("weight", "digest").agg(F.sum("k").alias("all"))
+    mine = own.join(total, ["weight", "digest"]).join(per_label.withColumnRenamed("other", label).withColumnRenamed("k", "same"), ["weight", "digest", label], "left")
+    found = mine.withColumn("n_matches", (F.col("all") - F.coalesce("same", F.lit(0))).cast("bigint")).where(F.col("n_matches") > 0)
     if limit <= 0:
-        return total.withColumn("names", F.array().cast("array<string>"))
-    from pyspark.sql import Window
-
-    ranked = matches.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("other"))).where(F.col("_r") <= limit)
-    top = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list("other")).alias("names"))
-    return total.join(top, keys)
+        return found.select(*keys, "n_matches", F.array().cast("array<string>").alias("names"))
+    place = F.row_number().over(Window.partitionBy("weight", "digest").orderBy("other"))
+    first = per_label.withColumn("_p", place).where(F.col("_p") <= limit + 1)
+    heads = first.groupBy("weight", "digest").agg(F.sort_array(F.collect_list(F.struct("other", F.least(F.col("k"), F.lit(limit)).cast("int").alias("k")))).alias("heads"))
+    others = F.filter("heads", lambda h: h["other"] != F.col(label))
+    names = F.slice(F.flatten(F.transform(others, lambda h: F.array_repeat(h["other"], h["k"]))), 1, limit)
+    return found.join(heads, ["weight", "digest"]).select(*keys, "n_matches", names.alias("names"))
 
 
 def machine_record(start: Column, end: Column, names: Column) -> Column:

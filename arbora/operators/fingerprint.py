@@ -24,8 +24,9 @@ def fingerprint_trees(df: DataFrame, ir: str, config: Config = STRICT, threshold
     """df plus weight, digest, subs and error (H11-H14; with passes > 0 after N4 and N5).
 
     self_name names a column holding the tree's own name. A null or malformed tree gets null results and an error;
-    with_subs=False leaves subs null. df must not have columns of these names."""
+    with_subs=False leaves subs null. Columns of df with the result's names are replaced."""
     threshold = (threshold or hard(0)) if with_subs else None
+    df = df.drop(*[c for c in ("weight", "digest", "subs", "error") if c not in (ir, self_name)])
     names = df.columns
     at, own = names.index(ir), names.index(self_name) if self_name else None
 

@@ -17,23 +17,31 @@ from pyspark.sql import functions as F
 from arbora.session import Scratch
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
 def number_within_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str], scratch: Scratch | None = None) -> DataFrame:
     """df plus `ordinal` (0-based, exact) within each key in the given order.
 
     Defined results: null keys are keys like others; ties in the order get distinct ordinals (any order among
-    them); an empty table gives an empty table. Key and order columns must not be named _pid, _pos, _base.
+    them); an empty table gives an empty table; other columns are kept, but one named ordinal is replaced.
     """
+    pid, n, pos, base = (_free(df, x) for x in ("pid", "n", "pos", "base"))
     scratch = scratch or Scratch(df.sparkSession, "chunking")
-    laid = scratch.write(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), "laid")
-    counts = laid.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_pid", *keys).orderBy(*order)
-    a, b = laid.withColumn("_pos", F.row_number().over(inside) - 1).alias("a"), offsets.alias("b")
-    on = F.col("a._pid") == F.col("b._pid")
+    laid = scratch.write(df.repartitionByRange(*order).withColumn(pid, F.spark_partition_id()), "laid")
+    counts = laid.groupBy(pid, *keys).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(*keys).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(pid, *keys, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
+    inside = Window.partitionBy(pid, *keys).orderBy(*order)
+    a, b = laid.withColumn(pos, F.row_number().over(inside) - 1).alias("a"), offsets.alias("b")
+    on = F.col(f"a.{pid}") == F.col(f"b.{pid}")
     for k in keys:
         on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    return a.join(b, on).select(*[F.col(f"a.{c}") for c in df.columns], (F.col("_base") + F.col("_pos")).alias("ordinal"))
+    return a.join(b, on).select(*[F.col(f"a.{c}") for c in df.columns if c != "ordinal" or c in (*keys, *order)], (F.col(base) + F.col(pos)).alias("ordinal"))
 
 
 def chunk_states(numbered: DataFrame, keys: Sequence[str], states: Sequence[Column], chunk_rows: int = 100_000) -> DataFrame:

@@ -218,7 +218,7 @@ def alpha_renamed_sequences(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def html_dom_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     """Texts with markup, parsed as HTML and hashed."""
-    docs = with_tree(table(spark, sf, "documents").where(F.contains("text", F.lit("<"))).select("doc_id", "text"), "text", "html").drop("text")
+    docs = with_tree(table(spark, sf, "documents").where("text is not null").select("doc_id", "text"), "text", "html").drop("text")
     return fingerprint.fingerprint_trees(docs, "ir", STRICT, with_subs=False).where("error is null").select("doc_id", "weight", "digest")
 
 
@@ -240,11 +240,17 @@ def text_tree_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- classes and look-ups (A, J5, K) ---------------------------------------------------------------------------
 
-@query(f"WITH {_FP} SELECT weight, digest, string_agg(label, '|' ORDER BY label) AS labels FROM fp WHERE digest IS NOT NULL AND label IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
+@query(f"WITH {_FP} SELECT weight, digest, label, CAST(count(*) OVER (PARTITION BY weight, digest) AS BIGINT) AS n FROM fp WHERE digest IS NOT NULL AND label IS NOT NULL QUALIFY n > 1")
 def exact_classes(spark: SparkSession, sf: str) -> DataFrame:
-    """A1: classes of several labels."""
-    rows = fingerprints(spark, sf).where("digest is not null and label is not null")
-    return classes.exact_classes(rows).where(F.size("labels") > 1).select("weight", "digest", F.array_join("labels", "|").alias("labels"))
+    """A1: members of the classes of several labels."""
+    return classes.exact_classes(fingerprints(spark, sf).where("digest is not null and label is not null"))
+
+
+@query(f"WITH {_FP} SELECT weight, digest, string_agg(label, '|' ORDER BY label) AS labels FROM fp WHERE digest IS NOT NULL AND label IS NOT NULL GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 10000")
+def class_label_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """A1, A2: classes of bounded size as lists."""
+    rows = classes.exact_classes(fingerprints(spark, sf).where("digest is not null and label is not null"))
+    return classes.class_lists(rows).select("weight", "digest", F.array_join("labels", "|").alias("labels"))
 
 
 @query(f"""WITH {_FP}, f AS (SELECT weight, digest, min(fp_id) AS fp_id FROM fp WHERE digest IS NOT NULL AND subs IS NOT NULL GROUP BY 1, 2)
@@ -255,25 +261,25 @@ def first_bags(spark: SparkSession, sf: str) -> DataFrame:
     return classes.first_bag(rows, "fp_id").select("weight", "digest", F.size("subs").cast("bigint").alias("n"))
 
 
-@query(f"WITH {_ENTRIES}, {_FP} SELECT fp_id, fp.label AS label, e.label AS other FROM fp JOIN e USING (weight, digest) WHERE fp.label <> e.label")
+@query(f"WITH {_ENTRIES}, {_HASHES} SELECT hash_id, weight, digest FROM h WHERE EXISTS (SELECT 1 FROM e WHERE e.weight = h.weight AND e.digest = h.digest AND e.label <> h.label)")
 def clone_db_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """Definitions and the database's other labels of the same fingerprint."""
-    return classes.clone_matches(fingerprints(spark, sf).select("fp_id", "label", "weight", "digest"), entries(spark, sf)).select("fp_id", "label", "other")
+    """Definitions whose fingerprint the database has under another label; the class stands for its labels."""
+    return classes.clone_report(hashes(spark, sf), entries(spark, sf), ["hash_id", "weight", "digest"], limit=0).select("hash_id", "weight", "digest")
 
 
-@query(f"""WITH {_ENTRIES}, {_FP}, m AS (SELECT fp_id, fp.label AS label, e.label AS other FROM fp JOIN e USING (weight, digest) WHERE fp.label <> e.label),
-    r AS (SELECT *, row_number() OVER (PARTITION BY fp_id, label ORDER BY other) AS k, count(*) OVER (PARTITION BY fp_id, label) AS n FROM m)
-    SELECT fp_id, label, CAST(n AS BIGINT) AS n_matches, string_agg(other, '|' ORDER BY other) AS names FROM r WHERE k <= 10 GROUP BY 1, 2, 3""")
+@query(f"""WITH {_ENTRIES}, {_HASHES}, m AS (SELECT hash_id, h.label AS label, e.label AS other FROM h JOIN e USING (weight, digest) WHERE h.label <> e.label),
+    r AS (SELECT *, row_number() OVER (PARTITION BY hash_id, label ORDER BY other) AS k, count(*) OVER (PARTITION BY hash_id, label) AS n FROM m)
+    SELECT hash_id, label, CAST(n AS BIGINT) AS n_matches, string_agg(other, '|' ORDER BY other) AS names FROM r WHERE k <= 10 GROUP BY 1, 2, 3""")
 def clone_report_limited(spark: SparkSession, sf: str) -> DataFrame:
     """The number of all matches and the first ten names."""
-    m = classes.clone_matches(fingerprints(spark, sf).select("fp_id", "label", "weight", "digest"), entries(spark, sf))
-    return classes.clone_report(m, ["fp_id", "label"], 10).withColumn("names", F.array_join("names", "|"))
+    own = hashes(spark, sf).select("hash_id", "label", "weight", "digest")
+    return classes.clone_report(own, entries(spark, sf), ["hash_id", "label"]).withColumn("names", F.array_join("names", "|"))
 
 
-@query(f"""WITH {_HASHES}, d AS (SELECT weight, digest, label FROM h WHERE digest IS NOT NULL), m AS (SELECT hash_id, h.loc_start, h.loc_end, d.label AS other FROM h JOIN d USING (weight, digest) WHERE h.label <> d.label AND h.loc_end IS NOT NULL)
+@query(f"""WITH {_HASHES}, m AS (SELECT a.hash_id, a.loc_start, a.loc_end, b.label AS other FROM h a JOIN h b ON a.weight = b.weight AND a.digest = b.digest WHERE a.label <> b.label AND a.loc_end IS NOT NULL)
     SELECT hash_id, CAST(loc_start AS VARCHAR) || ';' || CAST(loc_end AS VARCHAR) || ';* ' || string_agg(other, chr(10) || '* ' ORDER BY other) || '#' AS record FROM m GROUP BY hash_id, loc_start, loc_end""")
 def clone_machine_records(spark: SparkSession, sf: str) -> DataFrame:
-    """K5, Q16: machine records of the duplicates inside the analysed definitions, without a limit."""
+    """K5, Q16: machine records of the duplicates inside the analysed definitions; a record holds all names, by its contract."""
     own = hashes(spark, sf)
     m = classes.clone_matches(own.where("loc_end is not null"), own.where("digest is not null"))
     named = m.groupBy("hash_id", "loc_start", "loc_end").agg(F.sort_array(F.collect_list("other")).alias("names"))
@@ -299,12 +305,12 @@ def database_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def streaming_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """A7 as a stream: trees appended to a database batch by batch, with their clone reports."""
+    """A7 as a stream: trees appended to a database batch by batch, each batch with its clone report; the database."""
     root = Scratch(spark, "stream").root
     trees(spark, sf).select("tree_id", "ir").repartition(3).write.parquet(f"{root}/in")
     incoming = spark.readStream.schema("tree_id string, ir string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     upsert_stream(incoming, f"{root}/db", f"{root}/reports", f"{root}/ck").awaitTermination()
-    return spark.read.parquet(f"{root}/reports").select("label", "n_matches")
+    return classes.read_database(spark, f"{root}/db")
 
 
 # ---- distances and graph (A5, A6, J1-J4, C) --------------------------------------------------------------------
@@ -339,6 +345,18 @@ def symmetric_difference(spark: SparkSession, sf: str) -> DataFrame:
     return distance.symmetric_differences(_heavy_bags(spark, sf), "fp_id")
 
 
+@query("""WITH o AS (SELECT l_orderkey AS k, l_partkey AS p, count(*) AS n FROM lineitem GROUP BY 1, 2), w AS (SELECT k, sum(n) AS total FROM o GROUP BY 1),
+    c AS (SELECT a.k AS x, b.k AS y, sum(least(a.n, b.n)) AS common FROM o a JOIN o b ON a.p = b.p AND a.k < b.k GROUP BY 1, 2)
+    SELECT CAST(u.total + v.total - 2 * common AS BIGINT) AS dist, CAST(count(*) AS BIGINT) AS n FROM c JOIN w u ON u.k = x JOIN w v ON v.k = y GROUP BY 1""")
+def order_distance_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances of all orders that share a part, by distance."""
+    items = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("digest"), F.col("l_orderkey").alias("parent")).agg(F.count(F.lit(1)).alias("n")).select("digest", F.lit(1).cast("bigint").alias("weight"), "parent", "n")
+    total = distance.total_weights(items)
+    tx, ty = total.select(F.col("parent").alias("x"), F.col("total").alias("wx")), total.select(F.col("parent").alias("y"), F.col("total").alias("wy"))
+    d = distance.common_weights(items).join(tx, "x").join(ty, "y")
+    return d.groupBy((F.col("wx") + F.col("wy") - 2 * F.col("common")).cast("bigint").alias("dist")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
 @query(f"WITH {_DIST} SELECT fp_id FROM fp WHERE fp_id NOT IN (SELECT x FROM d UNION SELECT y FROM d)")
 def alone_trees(spark: SparkSession, sf: str) -> DataFrame:
     """Trees without a neighbour."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.functions.scalars import strip_version
-from arbora.operators.classes import clone_matches, clone_report, upsert
+from arbora.operators.classes import clone_report, upsert
 from arbora.operators.dendrogram import roots_of
 from arbora.operators.partition import Clusters, cluster, partition
 from arbora.operators.stats import class_report, refined
@@ -18,8 +18,7 @@ def clone_lookup(own: DataFrame, database: DataFrame, keys: list[str], limit: in
     """Entry B: own (label, weight, digest, …) is added to the database and looked up in it.
 
     keys name the columns of own that identify a definition, the label among them."""
-    known = upsert(database, own)
-    return clone_report(clone_matches(own, known), keys, limit)
+    return clone_report(own, upsert(database, own), keys, limit=limit)
 
 
 def classes_of(clusters: Clusters) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from arbora.model import KIND_CLASSES, STRICT, TREES, Config
-from arbora.operators.classes import clone_matches, clone_report, read_database
+from arbora.operators.classes import clone_report, read_database
 from arbora.operators.fingerprint import fingerprint_trees
 
 
@@ -28,6 +28,6 @@ def upsert_stream(trees: DataFrame, database: str, reports: str, checkpoint: str
         own.withColumn("kind", F.lit(KIND_CLASSES)).write.mode("overwrite").parquet(f"{database}/batch={number}")
         past = read_database(spark, database)
         mine = read_database(spark, f"{database}/batch={number}")
-        clone_report(clone_matches(mine, past), ["label", "weight", "digest"], limit).write.mode("overwrite").parquet(f"{reports}/batch={number}")
+        clone_report(mine, past, ["label", "weight", "digest"], limit=limit).write.mode("overwrite").parquet(f"{reports}/batch={number}")
 
     return trees.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -198,10 +198,14 @@ def test_database_and_reports(spark, tmp_path):
     assert classes.read_database(spark, path).count() == 13 and classes.read_database(spark, None).count() == 0
     with pytest.raises(ValueError):
         dendrogram.read_forest(spark, str(tmp_path / "g")) if db.withColumn("kind", F.lit("forest")).write.parquet(str(tmp_path / "g" / "merges")) else classes.read_database(spark, str(tmp_path / "g" / "merges"))
-    m = classes.clone_matches(own, classes.upsert(db, own))
-    got = {(r.label, r.s): (r.n_matches, list(r.names)) for r in classes.clone_report(m, ["label", "s"], 2).collect()}
+    known = classes.upsert(db, own)
+    got = {(r.label, r.s): (r.n_matches, list(r.names)) for r in classes.clone_report(own, known, ["label", "s"], limit=2).collect()}
+    pairs = classes.clone_matches(own, known).groupBy("label", "s").count().collect()
+    assert {(r["label"], r["s"]): r["count"] for r in pairs} == {k: v[0] for k, v in got.items()}
     assert got[("f", 1)] == (13, ["g", "n00"]) and got[("g", 10)] == (14, ["f", "f"])  # same-name redefinitions are hidden (Q16)
-    assert all(list(r.names) == [] for r in classes.clone_report(m, ["label", "s"], 0).collect())
+    assert all(list(r.names) == [] for r in classes.clone_report(own, known, ["label", "s"], limit=0).collect())
+    members = classes.exact_classes(db)
+    assert members.count() == 12 and [len(r.labels) for r in classes.class_lists(members).collect()] == [12] and classes.class_lists(members, 5).count() == 0
     rec = spark.range(1).select(classes.machine_record(F.lit(1), F.lit(9), F.array(F.lit("a"), F.lit("b"))).alias("r")).first().r
     assert rec == "1;9;* a\n* b#"
     assert "has" not in rec and spark.range(1).select(classes.human_record(F.lit("f"), F.lit("l"), F.lit(2), F.array(F.lit("a"))).alias("r")).first().r == "f in l matches 2 definition(s):\n* a"

@@ -39,6 +39,9 @@ def test_ties_repeats_and_clashing_columns(spark):
     assert got == list(range(8))
     assert [tuple(r) for r in key_counts(df, ["k"], ["o"]).collect()] == [("k", 8)]
     assert number_within_keys(df.limit(0), ["k"], ["o"]).count() == 0
+    clash = df.selectExpr("k", "o", "n", "1 as pid", "2 as pos", "'x' as base", "7 as ordinal", "0 as _pid")
+    out = number_within_keys(clash, ["k"], ["o"])
+    assert sorted(r.ordinal for r in out.collect()) == list(range(8)) and out.columns.count("ordinal") == 1 and "base" in out.columns
 
 
 def test_bursts_cross_chunks(spark):
