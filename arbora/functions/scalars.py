@@ -32,3 +32,33 @@ def package_prefix(c: Column) -> Column:
         F.when(F.instr(c, "-") > 0, F.substring_index(c, "-", 1))
         .when(F.instr(c, ".") > 0, F.substring_index(c, ".", 1))
     )
+
+
+def append_suffix(c: Column, suffix: str) -> Column:
+    """Null stays null."""
+    return F.concat(c, F.lit(suffix))
+
+
+def capitalise(c: Column) -> Column:
+    """First letter upper-case, the rest as it is."""
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30))
+
+
+def safe_item(array: Column, at: int) -> Column:
+    """The element at a place from 0; null outside."""
+    return F.get(array, at)
+
+
+def contains_literal(c: Column, needle: str) -> Column:
+    """A literal search, nothing in the needle is special (X11)."""
+    return F.contains(c, F.lit(needle))
+
+
+def escape_digest(raw: Column) -> Column:
+    """Raw digests as lower-case hex, which sorts as the bytes do."""
+    return F.lower(F.hex(raw))
+
+
+def seeded_bits(*key: Column, seed: int = 42) -> Column:
+    """Reproducible pseudo-random bits per row."""
+    return F.xxhash64(F.lit(seed), *key)

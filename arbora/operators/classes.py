@@ -92,3 +92,12 @@ def machine_record(start: Column, end: Column, names: Column) -> Column:
 def human_record(name: Column, location: Column, n_matches: Column, names: Column) -> Column:
     """The report of one definition for people (K4)."""
     return F.concat(name, F.lit(" in "), location, F.lit(" matches "), n_matches.cast("string"), F.lit(" definition(s):\n* "), F.array_join(names, "\n* "))
+
+
+def read_machine_records(text: Column) -> Column:
+    """array<struct<start, end, names>> of a text of machine records; offsets count from 1, as editors do (K6)."""
+    pieces = F.split(text, "#", -1)
+    records = F.slice(pieces, 1, F.size(pieces) - 1)  # what follows the last terminator is no record
+    fields = F.transform(records, lambda r: F.split(r, ";", 3))
+    name = lambda f: F.transform(F.split(f[2], "\n"), lambda n: F.regexp_replace(n, r"^\* ", ""))
+    return F.transform(fields, lambda f: F.struct((f[0].cast("int") + 1).alias("start"), (f[1].cast("int") + 1).alias("end"), name(f).alias("names")))

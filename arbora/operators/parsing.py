@@ -29,6 +29,13 @@ def last_value(bindings: DataFrame, keys: list[str], value: str, order: str = "o
     return bindings.groupBy(*keys).agg(F.max_by(value, order).alias(value))
 
 
+def value_or_fail(units: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:
+    """units with the value of their key; a unit without one fails the query when its row is computed."""
+    found = units.join(values.select(key, value, F.lit(True).alias("_found")), key, "left")
+    missing = F.raise_error(F.concat(F.lit("not found: "), F.col(key).cast("string")))
+    return found.withColumn(value, F.when(F.col("_found"), F.col(value)).otherwise(missing)).drop("_found")
+
+
 def qualified_name(prefix: Column, *parts: Column) -> Column:
     """prefix.part.…; no prefix gives a leading dot, an anonymous part an empty segment."""
     return F.concat_ws(".", F.coalesce(prefix, F.lit("")), *[F.coalesce(p, F.lit("")) for p in parts])
