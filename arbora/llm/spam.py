@@ -21,25 +21,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.subtitles import canonical, cues, unmarked
+from arbora.llm.subtitles import LINK, LISTING, canonical, cut, unmarked
 from arbora.session import Scratch
 
-_LINK = re.compile(r"(?:https?://|www\.)\S+|<a\s[^>]*>|\]\([^)]*\)|\S+ ?\[dot\] ?\S+|[\w-]+\.(?:com|org|net|info|biz|example|test|invalid)\b\S*|#\w+", re.I)
-_MAYBE_LINK = re.compile(r"://|www\.|<a\s|\]\(|\[dot\]|#|\w\.(?:com|org|net|info|biz|example|test|invalid)\b", re.I)
-_LISTING = re.compile(r"[|/;,>]")
+_LINK = re.compile(r"(?:https?://|www\.)[^\s\0]+|<a\s[^>\0]*>|\]\([^)\0]*\)|[^\s\0]+ ?\[dot\] ?[^\s\0]+|[\w-]+\.(?:com|org|net|info|biz|example|test|invalid)\b[^\s\0]*|#\w+", re.I)
+_HOST = re.compile(r"\.(?:com|org|net|info|biz|example|test|invalid)\b", re.I)
+_SIGNS = ("://", "www.", "[dot]", "](", "<a ", "#")
 FLOOR, CEILING = -3.0, 6.0
 
 
 def units(text: str) -> list[tuple[list[str], int, int]]:
     """(words, links, list separators) of every cue with a word or a link."""
-    kept = [unmarked(c).replace("\n", " ") for c in cues(text)]
-    links = [0] * len(kept)
-    if _MAYBE_LINK.search(text):
-        for i, c in enumerate(kept):
-            if _MAYBE_LINK.search(c):
-                kept[i], links[i] = _LINK.subn(" ", c)
-    words = [x.split() for x in canonical("\n".join(kept)).split("\n")]
-    return [(w, n, c) for w, n, c in zip(words, links, kept) if w or n]
+    text = unmarked(cut(text))
+    if any(sign in text for sign in _SIGNS) or _HOST.search(text):
+        text = _LINK.sub(f" {LINK} ", text)
+    out = []
+    for line in canonical(text).split("\n"):
+        links, listed = line.count(LINK), line.count(LISTING)
+        if links or listed:
+            line = line.replace(LINK, " ").replace(LISTING, " ")
+        words = line.split()
+        if words or links:
+            out.append((words, links, listed))
+    return out
 
 
 def pairs_of(words: list[str]) -> list[str]:
@@ -75,31 +79,30 @@ def spam_cues(text: str, pmi: dict[str, tuple[float, bool]], common: set[str]) -
     found = units(text)
     repeats: Counter = Counter()
     listed, different = [], set()
-    for words, links, cue in found:
+    for words, _, _ in found:
         pairs = pairs_of(words)
         listed.append(pairs)
         key = tuple(words)
         if key not in different:  # a refrain sung again is no further evidence
             different.add(key)
             repeats.update(set(pairs))
+    often_enough = max(3, 0.12 * len(different))
+    again = {p for p, n in repeats.items() if n >= often_enough and ((known := pmi.get(p)) is None or known[1])}
     spam = 0
-    for (words, links, cue), pairs in zip(found, listed):
+    for (words, links, separators), pairs in zip(found, listed):
         if links and len(words) <= 4 * links:
             spam += 1
             continue
-        total, most = 0.0, 0
-        for p in pairs:
-            known = pmi.get(p)
-            total += known[0] if known else FLOOR
-            if repeats[p] > most and (known is None or known[1]):
-                most = repeats[p]
-        mean = total / len(pairs) if pairs else FLOOR
-        often = most / len(different) if most >= 3 else 0.0
-        listing = len(_LISTING.findall(cue)) >= max(2, 0.25 * len(words))
-        bare = sum(w in common for w in words) < 0.2 * len(words)
-        stuffed = len(words) >= 4 and 2 * len(set(words)) <= len(words)
-        if (mean < -1.35 and (often >= 0.12 or listing and pairs)) or (often >= 0.12 and (listing or stuffed or bare)):
+        often = bool(again) and not again.isdisjoint(pairs)
+        listing = separators >= max(2, 0.25 * len(words))
+        if often and (listing or len(words) >= 4 and 2 * len(set(words)) <= len(words) or sum(w in common for w in words) < 0.2 * len(words)):
             spam += 1
+        elif (often or listing) and pairs:
+            total = 0.0
+            for p in pairs:
+                known = pmi.get(p)
+                total += known[0] if known else FLOOR
+            spam += total < -1.35 * len(pairs)
     return spam, len(found)
 
 

@@ -11,19 +11,21 @@ MERGED = [(b"u", b"ii"), (b"rn", b"m"), (b"vv", b"w")]
 
 #: Numbering and time lines, with {start}{end} frames.
 SEPARATOR = r"^[ \t]*\d+[ \t]*$|^[^\n]*-->[^\n]*$|^WEBVTT[^\n]*$|^[ \t]*\{\d+\}\{\d+\}"
-#: Markup, bracketed sound descriptions, entities and speaker names.
-_MARKS = r"<(?!a\s)[^<>]*>|\{[^{}]*\}|\[(?!dot\])[^\[\]]*\](?!\()|(?<!\])\([^()]*\)|\*[^*\n]*\*|&#?\w{1,8};|^[ \t]*(?:-[ \t]*)?[A-Z]{3,}:(?=[ \t])"
+#: Markup, bracketed sound descriptions and entities; none reaches over CUE. Every alternative starts with a
+#: character of its own, which lets the engine skip to the next candidate.
+CUE = "\0"
+_MARKS = r"<(?!a\s)[^<>\0]*>|\{[^{}\0]*\}|\[(?!dot\])[^\[\]\0]*\](?!\()|\((?<!\]\()[^()\0]*\)|\*[^*\n\0]*\*|&#?\w{1,8};"
+#: Speaker names.
+_SPEAKER = re.compile(r"[A-Z]{3,}:(?=[ \t])")
 _SEPARATORS = re.compile(SEPARATOR, re.M)
 _SPLIT = re.compile(rf"(?:(?:{SEPARATOR})\n?|\n[ \t]*\n)", re.M)
-_MARK = re.compile(_MARKS, re.M)
-_BOTH = re.compile(rf"{SEPARATOR}|{_MARKS}", re.M)
+_MARK = re.compile(_MARKS)
 _HAS_CUES = re.compile(r"-->|^[ \t]*\{\d+\}\{\d+\}", re.M)
 
 _LETTERS = {x: CONFUSED.get(chr(x).lower(), chr(x).lower()) for x in range(128) if chr(x).isalpha() or chr(x) in "01"}
 _TO = bytes(ord(_LETTERS.get(x, " ")) for x in range(256))
 _NOT_LETTERS = bytes(x for x in range(256) if x not in _LETTERS)
-#: For words: everything else is a space, but apostrophes and question marks (which stand for lost letters) vanish.
-_TO_WORDS = bytes(10 if x == 10 else ord(_LETTERS.get(x, " ")) for x in range(256))
+_DIGIT = re.compile(r"\d")
 _NUMBERS = re.compile(r"(?<![^\W\d_])\d+(?![^\W\d_])")
 
 
@@ -41,22 +43,34 @@ def spoken_letters(text: str) -> str:
     """The spoken text as one run of canonical letters: no spaces, punctuation, times, markup or sounds.
 
     Letters outside ASCII are left out on both sides of a comparison, so it doesn't matter how they were decoded."""
-    b = _BOTH.sub(" ", plain(text)).encode("ascii", "ignore")
+    b = unmarked(_SEPARATORS.sub(" ", plain(text))).encode("ascii", "ignore")
     return _merge(b.translate(_TO, _NOT_LETTERS)).decode("ascii")
 
 
+def cut(text: str) -> str:
+    """The text with CUE between cues, or between lines where there are no cues."""
+    text = plain(text).replace(CUE, " ")
+    return _SPLIT.sub(CUE, text) if _HAS_CUES.search(text) else text.replace("\n", CUE)
+
+
 def cues(text: str) -> list[str]:
     """Cue texts, or lines where there are no cues; empty ones are left out."""
-    text = plain(text)
-    parts = _SPLIT.split(text) if _HAS_CUES.search(text) else text.split("\n")
-    return [x for x in parts if x.strip()]
+    return [x for x in cut(text).split(CUE) if x.strip()]
+
+
+def unmarked(text: str) -> str:
+    text = _MARK.sub(" ", text)
+    return _SPEAKER.sub(" ", text) if ": " in text else text
 
 
-def unmarked(cue: str) -> str:
-    return _MARK.sub(" ", cue)
+#: For canonical(): cues stay apart by line breaks; LINK and LISTING keep their places.
+LINK, LISTING = "\1", "\2"
+_TO_WORDS = bytes({0: 10, 1: 1, **dict.fromkeys(map(ord, "|/;,>"), 2)}.get(x, ord(_LETTERS.get(x, " "))) for x in range(256))
 
 
-def canonical(texts: str) -> str:
-    """Canonical words; line breaks stay, everything else between words is space."""
-    b = _NUMBERS.sub(" ", texts).encode("ascii", "ignore")
+def canonical(text: str) -> str:
+    """Canonical words, one line per cue; apostrophes and question marks (which stand for lost letters) vanish."""
+    if _DIGIT.search(text):
+        text = _NUMBERS.sub(" ", text)
+    b = text.encode("ascii", "ignore")
     return _merge(b.translate(_TO_WORDS, b"'?")).decode("ascii")
