@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from hashlib import md5
 
 from arbora.functions.irtree import Node, fold
@@ -11,23 +12,28 @@ from arbora.model import Config, Threshold
 Hashed = tuple[int, list, bytes]
 
 
+@lru_cache(maxsize=100_000)
+def _md5(text: str) -> bytes:
+    return md5(text.encode()).digest()
+
+
 def leaf(text: str) -> Hashed:
-    return 1, [], md5(text.encode()).digest()
+    return 1, [], _md5(text)
 
 
 def combine(label: str, parts: list[Hashed], should_sort: bool) -> Hashed:
     """Weight 1 + the parts'; the bag in pre-order; with should_sort the label's digest is sorted among the parts'."""
-    digests = [p[2] for p in parts]
-    if label:
-        digests.insert(0, md5(label.encode()).digest())
-    if should_sort:
-        digests.sort()
-    bag: list = []
+    digests = [_md5(label)] if label else []
+    total, bag = 1, []
     for weight, inner, digest in parts:
+        total += weight
+        digests.append(digest)
         bag.append((weight, digest))
         if inner:
             bag.append(inner)
-    return 1 + sum(p[0] for p in parts), bag, md5(b"".join(digests)).digest()
+    if should_sort:
+        digests.sort()
+    return total, bag, md5(b"".join(digests)).digest()
 
 
 def listed(label: str, items: list[Hashed], should_sort: bool) -> Hashed:

@@ -16,30 +16,35 @@ from arbora.functions.hashing import hash_tree
 from arbora.functions.irtree import TreeError, parse_tree, print_tree
 from arbora.functions.normalise import normalise
 from arbora.model import STRICT, Config, Threshold, hard
+from arbora.sources.nested import TREE_OF
+
+PARSERS = {"ir": parse_tree, **TREE_OF}
 
 _BAG = pa.list_(pa.struct([("weight", pa.int64()), ("digest", pa.string())]))
 
 
-def fingerprint_trees(df: DataFrame, ir: str, config: Config = STRICT, threshold: Threshold | None = None, *, with_subs: bool = True, passes: int = 0, self_name: str | None = None, strict_fix: bool = False, keep_mutable: bool = False) -> DataFrame:
+def fingerprint_trees(df: DataFrame, ir: str, config: Config = STRICT, threshold: Threshold | None = None, *, kind: str = "ir", with_subs: bool = True, passes: int = 0, self_name: str | None = None, strict_fix: bool = False, keep_mutable: bool = False) -> DataFrame:
     """df plus weight, digest, subs and error (H11-H14; with passes > 0 after N4 and N5).
 
-    self_name names a column holding the tree's own name. A null or malformed tree gets null results and an error;
+    kind says what the column holds: ir text, or html, json or text, whose trees are hashed without being written
+    out. self_name names a column holding the tree's own name. A null or malformed tree gets null results and an error;
     with_subs=False leaves subs null. Columns of df with the result's names are replaced."""
     threshold = (threshold or hard(0)) if with_subs else None
     df = df.drop(*[c for c in ("weight", "digest", "subs", "error") if c not in (ir, self_name)])
     names = df.columns
     at, own = names.index(ir), names.index(self_name) if self_name else None
+    parse = PARSERS[kind]
 
     def one(text: str | None, name: str | None):
         if text is None:
             return None, None, None, "no tree"
         try:
-            tree = parse_tree(text)
+            tree = parse(text)
             if passes:
                 tree = normalise(tree, name, passes, strict_fix, keep_mutable)
             return *hash_tree(tree, config, threshold), None
-        except TreeError as e:
-            return None, None, None, str(e)
+        except (ValueError, RecursionError) as e:  # TreeError is a ValueError
+            return None, None, None, str(e) or type(e).__name__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

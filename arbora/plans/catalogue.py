@@ -12,7 +12,7 @@ from arbora.operators.partition import accept_reject, cluster, with_representati
 from arbora.plans.pipelines import clone_lookup, corpus_report
 from arbora.session import Scratch
 from arbora.sources.files import dump_labels
-from arbora.sources.nested import lines_of, with_tree
+from arbora.sources.nested import lines_of
 from arbora.sources.tables import table
 from arbora.streaming.upsert import upsert_stream
 
@@ -218,8 +218,8 @@ def alpha_renamed_sequences(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def html_dom_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     """Texts with markup, parsed as HTML and hashed."""
-    docs = with_tree(table(spark, sf, "documents").where("text is not null").select("doc_id", "text"), "text", "html").drop("text")
-    return fingerprint.fingerprint_trees(docs, "ir", STRICT, with_subs=False).where("error is null").select("doc_id", "weight", "digest")
+    rows = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
+    return fingerprint.fingerprint_trees(rows, "text", STRICT, kind="html", with_subs=False).where("error is null").select("doc_id", "weight", "digest")
 
 
 @query("""WITH v AS (SELECT event_id, coalesce(props->'k', 'null') AS j FROM events WHERE props IS NOT NULL), x AS (SELECT event_id, md5(CAST(j AS VARCHAR)) AS leaf FROM v),
@@ -227,15 +227,15 @@ def html_dom_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     SELECT event_id, CAST(7 AS BIGINT) AS weight, md5(unhex(md5('Lprim') || md5('object') || md5(unhex(d)))) AS digest FROM k""")
 def json_tree_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     """JSON objects as trees."""
-    rows = with_tree(table(spark, sf, "events").where("props is not null").select("event_id", "props"), "props", "json").drop("props")
-    return fingerprint.fingerprint_trees(rows, "ir", STRICT, with_subs=False).where("error is null").select("event_id", "weight", "digest")
+    rows = table(spark, sf, "events").where("props is not null").select("event_id", "props")
+    return fingerprint.fingerprint_trees(rows, "props", STRICT, kind="json", with_subs=False).where("error is null").select("event_id", "weight", "digest")
 
 
 @query()
 def text_tree_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as lines of tokens, hashed by the kernel."""
-    docs = with_tree(table(spark, sf, "documents").where("text is not null").select("doc_id", "text"), "text", "text").drop("text")
-    return fingerprint.fingerprint_trees(docs, "ir", STRICT, with_subs=False).where("error is null").select("doc_id", "weight", "digest")
+    rows = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
+    return fingerprint.fingerprint_trees(rows, "text", STRICT, kind="text", with_subs=False).where("error is null").select("doc_id", "weight", "digest")
 
 
 # ---- classes and look-ups (A, J5, K) ---------------------------------------------------------------------------

@@ -86,9 +86,13 @@ def _json_text(text: str) -> Node:
     return json_tree(json.loads(text))
 
 
+#: Parsers by kind of source.
+TREE_OF = {"html": html_tree, "json": _json_text, "text": text_tree}
+
+
 def with_tree(df: DataFrame, column: str, kind: str, out: str = "ir") -> DataFrame:
     """df plus the IR text of the tree in a column; kind is html, json or text. Null or malformed input gives null."""
-    make = {"html": html_tree, "json": _json_text, "text": text_tree}[kind]
+    make = TREE_OF[kind]
     names, at = df.columns, df.columns.index(column)
 
     def one(text):
