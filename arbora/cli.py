@@ -22,7 +22,7 @@ from arbora.operators import classes, dendrogram, stats
 from arbora.operators.fingerprint import fingerprint_trees
 from arbora.operators.partition import cluster
 from arbora.plans.pipelines import clone_lookup
-from arbora.session import local_session
+from arbora.session import drop_scratch, local_session
 from arbora.sources.files import dump_labels
 
 
@@ -103,6 +103,7 @@ def main(argv: list[str] | None = None) -> int:
             df = lookup(spark, o.trees, o.limit, o.database, o.machine) if o.command == "lookup" else inspect(spark, o.forest, o.top, o.representatives, o.prefix)
             for r in df.toLocalIterator():
                 print(*r, sep=": ", end="" if o.command == "lookup" and o.machine else "\n")
+        drop_scratch(spark)
     except Exception as e:  # noqa: BLE001
         print(f"{type(e).__name__}: {e}", file=sys.stderr)
         return 1

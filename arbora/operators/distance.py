@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbora.session import Scratch
+
 INFINITY = None  # the absent row
 
 
@@ -43,8 +45,9 @@ def common_weights(occ: DataFrame, hot_limit: int | None = None) -> DataFrame:
 
 def symmetric_differences(rows: DataFrame, parent: str, subs: str = "subs", hot_limit: int | None = None) -> DataFrame:
     """(x, y, dist), x < y: the finite distances."""
-    occ = occurrences(rows, parent, subs)
-    total = total_weights(occ)
+    scratch = Scratch(rows.sparkSession, "distance")
+    occ = scratch.write(occurrences(rows, parent, subs), "occurrences")  # read four times below
+    total = scratch.write(total_weights(occ), "totals")
     tx, ty = total.select(F.col("parent").alias("x"), F.col("total").alias("wx")), total.select(F.col("parent").alias("y"), F.col("total").alias("wy"))
     return common_weights(occ, hot_limit).join(tx, "x").join(ty, "y").select("x", "y", (F.col("wx") + F.col("wy") - 2 * F.col("common")).cast("bigint").alias("dist"))
 

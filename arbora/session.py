@@ -40,10 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder to cut lineage; a lost executor costs nothing but its running tasks."""
 
+    roots: list[str] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        Scratch.roots.append(self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as a Parquet table of its own and read it back (schema given, so no inference job)."""
@@ -56,6 +59,15 @@ class Scratch:
 
     def drop(self, table: DataFrame) -> None:
         """Delete a table no later plan reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(table._arbora_path)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(self.spark, table._arbora_path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this driver, once the results that read them are stored or no longer wanted."""
+    while Scratch.roots:
+        _delete(spark, Scratch.roots.pop())

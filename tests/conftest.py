@@ -2,13 +2,14 @@ import os
 
 import pytest
 
-from arbora.session import local_session
+from arbora.session import drop_scratch, local_session
 
 
 @pytest.fixture(scope="session")
 def spark():
     s = local_session(8, partitions=4)
     yield s
+    drop_scratch(s)
     s.stop()
 
 
