@@ -83,4 +83,6 @@ def connected_components(edges: DataFrame, src: str = "x", dst: str = "y", seed:
         )
     named = scratch.write(nodes.select("node", _fresh(F.col("id"), levels[0][0]).alias("a")).join(labels, "a").select("node", "level", "root"), "named")
     groups = scratch.write(named.groupBy("level", "root").agg(F.min("node").alias("component")), "groups")
+    for done in (pairs, nodes, graph, *(hooks for _, hooks in levels)):
+        scratch.drop(done)
     return named.join(groups, ["level", "root"]).select("node", "component")
