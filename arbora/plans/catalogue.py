@@ -201,9 +201,9 @@ def id_insensitive_classes(spark: SparkSession, sf: str) -> DataFrame:
     return shapes.groupBy("digest").agg((F.first("weight") - 1).alias("items"), F.count(F.lit(1)).cast("bigint").alias("n")).select("items", "n")
 
 
-@query()
+@query(f"WITH {_TREES} SELECT tree_id, ir AS normal FROM t WHERE ir IS NOT NULL")
 def inline_lets(spark: SparkSession, sf: str) -> DataFrame:
-    """Normalised trees as text."""
+    """Normalised trees as text; the table's trees are in normal form already, so each must come out as it is."""
     return fingerprint.normalised_text(trees(spark, sf).where("ir is not null").select("tree_id", "ir"), "ir", "normal").select("tree_id", "normal")
 
 
@@ -231,7 +231,14 @@ def json_tree_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprint.fingerprint_trees(rows, "props", STRICT, kind="json", with_subs=False).where("error is null").select("event_id", "weight", "digest")
 
 
-@query()
+_SPACE = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM documents WHERE text IS NOT NULL),
+    w AS (SELECT doc_id, ord, list_filter(regexp_split_to_array(line, '{_SPACE}'), lambda x: x <> '') AS words FROM l),
+    n AS (SELECT doc_id, ord, len(words) + 3 AS weight, md5(unhex(md5('Lprim') || md5('line') || md5(unhex(array_to_string(list_transform(list_reverse(words), lambda x: md5(x)), ''))))) AS d FROM w WHERE len(words) > 0),
+    t AS (SELECT doc_id, sum(weight) AS weight, string_agg(d, '' ORDER BY ord DESC) AS ds FROM n GROUP BY 1)
+    SELECT doc_id, CAST(3 + coalesce(t.weight, 0) AS BIGINT) AS weight, md5(unhex(md5('Lprim') || md5('text') || md5(unhex(coalesce(ds, ''))))) AS digest FROM documents LEFT JOIN t USING (doc_id) WHERE text IS NOT NULL""")
 def text_tree_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as lines of tokens, hashed by the kernel."""
     rows = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
@@ -303,14 +310,15 @@ def database_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return classes.read_database(spark, path).groupBy("weight", "digest").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-@query()
+@query(f"WITH {_TREES}, {_FP.replace('fp_id, any_value(label)', 'fp_id, any_value(tree_id) AS tree_id, any_value(label)')} SELECT t.tree_id AS label, fp.weight, fp.digest FROM t JOIN fp USING (tree_id) WHERE t.ir IS NOT NULL AND fp.digest IS NOT NULL")
 def streaming_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """A7 as a stream: trees appended to a database batch by batch, each batch with its clone report; the database."""
     root = Scratch(spark, "stream").root
     trees(spark, sf).select("tree_id", "ir").repartition(3).write.parquet(f"{root}/in")
     incoming = spark.readStream.schema("tree_id string, ir string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     upsert_stream(incoming, f"{root}/db", f"{root}/reports", f"{root}/ck").awaitTermination()
-    return classes.read_database(spark, f"{root}/db")
+    known = once(table(spark, sf, "fingerprints").where("digest is not null").select("fp_id", F.col("tree_id").alias("label")), "fp_id").select("label")
+    return classes.read_database(spark, f"{root}/db").join(known, "label", "left_semi")
 
 
 # ---- distances and graph (A5, A6, J1-J4, C) --------------------------------------------------------------------
