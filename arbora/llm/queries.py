@@ -75,6 +75,24 @@ SQL = {
         both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
         reach(node, other) AS (SELECT x, x FROM both_ways UNION SELECT r.node, b.y FROM reach r JOIN both_ways b ON r.other = b.x)
         SELECT node, min(other) AS component FROM reach GROUP BY node""",
+    # the greedy rule by recursion over the batch's order, with the accepted ids as state
+    "p2_found": """
+        WITH RECURSIVE
+        h AS (SELECT hash_id, any_value(batch_no) AS batch_no, any_value(weight) AS weight, any_value(lower(trim(digest, e' \\t\\n\\r'))) AS digest, any_value(subs) AS subs FROM main_hash_list GROUP BY hash_id),
+        e AS (SELECT entry_id, any_value(weight) AS weight, any_value(lower(trim(digest, e' \\t\\n\\r'))) AS digest, any_value(subs) AS subs FROM clone_db GROUP BY entry_id),
+        hb AS (SELECT hash_id, d, count(*) AS n FROM (SELECT hash_id, lower(trim(s.digest, e' \\t\\n\\r')) AS d FROM (SELECT hash_id, unnest(subs) AS s FROM h)) WHERE d IS NOT NULL GROUP BY 1, 2),
+        bags AS (SELECT min(entry_id) AS bag, list_sort(list_transform(subs, lambda s: lower(trim(s.digest, e' \\t\\n\\r')))) AS ds FROM e WHERE len(subs) > 0 GROUP BY 2),
+        eb AS (SELECT bag, d, count(*) AS n FROM (SELECT bag, unnest(ds) AS d FROM bags) WHERE d IS NOT NULL GROUP BY 1, 2),
+        hw AS (SELECT hash_id, sum(n) AS total FROM hb GROUP BY 1), ew AS (SELECT bag, sum(n) AS total FROM eb GROUP BY 1),
+        old AS (SELECT hash_id FROM h WHERE EXISTS (SELECT 1 FROM e WHERE e.weight = h.weight AND e.digest = h.digest)
+            UNION SELECT a.hash_id FROM (SELECT hash_id, bag, sum(least(hb.n, eb.n)) AS shared FROM hb JOIN eb USING (d) GROUP BY 1, 2) a JOIN hw USING (hash_id) JOIN ew USING (bag) WHERE shared / (hw.total + ew.total - shared) >= 0.7),
+        o AS (SELECT hash_id, row_number() OVER (ORDER BY batch_no, hash_id) AS seq, hash_id IN (SELECT hash_id FROM old) AS is_old FROM h),
+        near AS (SELECT x.hash_id AS a, y.hash_id AS b FROM h x JOIN h y ON x.weight = y.weight AND x.digest = y.digest AND x.hash_id <> y.hash_id
+            UNION SELECT a, b FROM (SELECT p.hash_id AS a, q.hash_id AS b, sum(least(p.n, q.n)) AS shared FROM hb p JOIN hb q USING (d) WHERE p.hash_id <> q.hash_id GROUP BY 1, 2) JOIN hw u ON u.hash_id = a JOIN hw v ON v.hash_id = b WHERE shared / (u.total + v.total - shared) >= 0.7),
+        f AS (SELECT y.hash_id, y.seq, y.is_old, coalesce(list(x.hash_id) FILTER (x.seq < y.seq), []) AS before FROM o y LEFT JOIN near ON near.b = y.hash_id LEFT JOIN o x ON x.hash_id = near.a GROUP BY 1, 2, 3),
+        r(seq, accepted) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+            SELECT f.seq, CASE WHEN f.is_old OR list_has_any(r.accepted, f.before) THEN r.accepted ELSE list_append(r.accepted, f.hash_id) END FROM r JOIN f ON f.seq = r.seq + 1)
+        SELECT hash_id FROM h WHERE NOT list_contains((SELECT accepted FROM r ORDER BY seq DESC LIMIT 1), hash_id)""",
     "p5_found": """
         WITH r AS (SELECT fp_id, any_value(subs) AS subs FROM fingerprints GROUP BY fp_id),
         t AS (SELECT fp_id, lower(trim(s.digest, e' \t\n\r')) AS d, count(*) AS n FROM (SELECT fp_id, unnest(subs) AS s FROM r) WHERE s.digest IS NOT NULL GROUP BY 1, 2),
