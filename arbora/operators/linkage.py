@@ -12,8 +12,9 @@ id is '<smallest leaf>+<number of leaves>'.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,10 +59,26 @@ def link_component(edges: list[tuple[str, str, int]]) -> list[tuple[str, str, st
     return out
 
 
-def _kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = link_component(list(zip(pdf["x"], pdf["y"], (int(d) for d in pdf["dist"]))))
-    c = pdf["component"].iloc[0]
-    return pd.DataFrame([(c, *r) for r in rows], columns=[f.name for f in MERGES])
+def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (component, x, y, dist) in order of component to merges; one component is held at a time."""
+
+    def merged(component: str, edges: list) -> pa.RecordBatch:
+        rows = [(component, *r) for r in link_component(edges)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    names = ["component", "node_id", "left_id", "right_id", "height", "n_leaves"]
+    last, held = None, []
+    for b in batches:
+        columns = (b.column(c).to_pylist() for c in ("component", "x", "y", "dist"))
+        for component, x, y, d in zip(*columns):
+            if component != last:
+                if held:
+                    yield merged(last, held)
+                last, held = component, []
+            held.append((x, y, d))
+    if held:
+        yield merged(last, held)
 
 
 def linkage_rounds(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -112,7 +129,7 @@ def complete_linkage(edges: DataFrame, kernel_edges: int = 200_000) -> DataFrame
     sizes = scratch.write(placed.groupBy("component").count(), "sizes")
     small = placed.join(sizes.where(F.col("count") <= kernel_edges).select("component"), "component", "left_semi")
     large = placed.join(sizes.where(F.col("count") > kernel_edges).select("component"), "component", "left_semi")
-    out = small.groupBy("component").applyInPandas(_kernel, MERGES)
+    out = small.repartition("component").sortWithinPartitions("component").mapInArrow(_kernel, MERGES)
     if sizes.where(F.col("count") > kernel_edges).isEmpty():
         return out
     return out.union(linkage_rounds(large, scratch))

@@ -10,6 +10,7 @@ from arbora.operators.classes import clone_report, upsert
 from arbora.operators.dendrogram import roots_of
 from arbora.operators.partition import Clusters, cluster, partition
 from arbora.operators.stats import class_report, refined
+from arbora.session import Scratch
 
 __all__ = ["partition", "clone_lookup", "corpus_report", "classes_of"]
 
@@ -31,5 +32,6 @@ def classes_of(clusters: Clusters) -> tuple[DataFrame, DataFrame]:
 def corpus_report(rows: DataFrame, more_than: int = 3, least_weight: int | None = None) -> DataFrame:
     """Entry C: cluster (label, weight, digest, subs), then the statistics of the three views."""
     labelled, trees = classes_of(cluster(rows, least_weight=least_weight))
+    labelled = Scratch(rows.sparkSession, "corpus").write(labelled, "labelled")
     stripped = labelled.select("cls", "leaf", strip_version(F.col("label")).alias("label")).distinct()
     return class_report(labelled, "all", trees).union(class_report(stripped, "only", trees)).union(class_report(refined(labelled, more_than), "refinement", trees))
