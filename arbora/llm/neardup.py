@@ -95,7 +95,7 @@ def _runs(run_cap: int):
     return run
 
 
-def similar_bags(bags: DataFrame, threshold: float, scratch: Scratch, trees: int = 64, depth: int = 7, least_depth: int = 3, recall: float = 0.9995, run_cap: int = 64, seed: int = 11) -> DataFrame:
+def similar_bags(bags: DataFrame, threshold: float, scratch: Scratch, trees: int = 128, depth: int = 7, least_depth: int = 3, recall: float = 0.99995, run_cap: int = 64, seed: int = 11) -> DataFrame:
     """(a, b, sim), a < b, of different bags of similarity threshold or more."""
     found = None
     while True:
