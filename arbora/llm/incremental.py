@@ -67,14 +67,31 @@ class History:
         self.common: dict[int, int] = {}
         self.keys = self.bags = self.blocks = None
 
-    def add(self, rows: DataFrame, bags: DataFrame, keys: DataFrame) -> None:
-        """Append accepted rows' keys (weight, digest) and bags (bag, k1, k2, elements); ids must be new."""
+    def add(self, bags: DataFrame, keys: DataFrame) -> DataFrame:
+        """Append accepted rows' keys (weight, digest) and bags (bag, k1, k2, elements), ids being new; the new blocking keys."""
         if self.keys is None:
             self.common = common_elements(bags)
         new = self.scratch.write(blocks(bags, self.common, self.threshold), "blocks")
         self.keys = keys if self.keys is None else self.keys.union(keys)
         self.bags = bags if self.bags is None else self.bags.union(bags)
         self.blocks = new if self.blocks is None else self.blocks.union(new)
+        return new
+
+    def save(self, path: str) -> None:
+        """Store the tables in a new folder; the order of elements is stored too, as blocking keys depend on it."""
+        for name in ("keys", "bags", "blocks"):
+            getattr(self, name).write.parquet(f"{path}/{name}")
+        order = [(k, v, self.threshold) for k, v in self.common.items()] or [(None, None, self.threshold)]
+        self.spark.createDataFrame(order, "element bigint, n bigint, threshold double").coalesce(1).write.parquet(f"{path}/order")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> History:
+        """A stored history, with all batches that absorb() appended to it since."""
+        order = spark.read.parquet(f"{path}/order").collect()
+        self = cls(spark, order[0]["threshold"])
+        self.common = {r["element"]: r["n"] for r in order if r["element"] is not None}
+        self.keys, self.bags, self.blocks = (spark.read.parquet(f"{path}/{name}") for name in ("keys", "bags", "blocks"))
+        return self
 
     @classmethod
     def build(cls, df: DataFrame, id_col: str, threshold: float = 0.7) -> History:
@@ -83,7 +100,7 @@ class History:
         rows = keyed(df, id_col, "subs")
         bags = self.scratch.write(distinct_bags(rows), "bags")
         keys = self.scratch.write(df.select("weight", clean_digest("digest").alias("digest")).where("weight is not null and digest is not null").distinct(), "keys")
-        self.add(rows, bags, keys)
+        self.add(bags, keys)
         return self
 
 
@@ -188,12 +205,26 @@ def _resolve(records: DataFrame, close: DataFrame, scratch: Scratch) -> DataFram
     return decided if decided is not None else records.select("at").where("false")
 
 
-def absorb(history: History, linked: Linked) -> None:
-    """Append the accepted records of a batch, so that the next batch is checked against them too."""
+def absorb(history: History, linked: Linked, path: str | None = None) -> None:
+    """Append the accepted records of a batch, so that the next batch is checked against them too.
+
+    With the path of a stored history they are appended there as well; what is stored is never rewritten."""
     accepted = linked.records.join(linked.decided.where("found_in is null").select("id"), "id", "left_semi")
     kept = history.scratch.write(linked.bags.join(accepted.select("bag").distinct(), "bag", "left_semi"), "bags")
     keys = history.scratch.write(accepted.where("weight is not null and digest is not null").select("weight", "digest").distinct(), "keys")
-    history.add(accepted, kept, keys)
+    new = history.add(kept, keys)
+    if path is not None:
+        for name, table in (("keys", keys), ("bags", kept), ("blocks", new)):
+            table.write.mode("append").parquet(f"{path}/{name}")
+
+
+def best_links(linked: Linked) -> DataFrame:
+    """(id, linked_to, score, sim): for records whose bag is in history, the history bag of the best score.
+
+    Ties go to the higher similarity, then to the smaller id. linked_to is the bag's id: its first record."""
+    rank = F.struct("score", "sim", (-F.col("b")).alias("minus"))
+    best = linked.matches.groupBy(F.col("a").alias("bag")).agg(F.max(rank).alias("best"))
+    return linked.members.join(best, "bag").select("id", (-F.col("best.minus")).alias("linked_to"), "best.score", "best.sim")
 
 
 def cluster_updates(linked: Linked, representatives: DataFrame | None = None) -> DataFrame:

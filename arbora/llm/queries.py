@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arbora.llm.components import connected_components
 from arbora.llm.handwritten import not_handwritten
-from arbora.llm.incremental import History, cluster_updates, link_batch
+from arbora.llm.incremental import History, best_links, cluster_updates, link_batch
 from arbora.llm.leaks import find_leaks
 from arbora.llm.neardup import near_duplicates
 from arbora.llm.packing import fill_report, pack, token_sizes
@@ -40,6 +40,11 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return not_handwritten(table(spark, sf, "units")).select(F.col("id").alias("unit_id"))
 
 
+def p2_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of `main_hash_list` with the best record of `clone_db` they nearly repeat."""
+    return best_links(_linked(spark, sf)).select(F.col("id").alias("hash_id"), F.col("linked_to").alias("entry_id"), F.round("sim", 6).alias("sim"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of different records of `fingerprints` with bag similarity of 0.7 or more."""
     pairs = near_duplicates(table(spark, sf, "fingerprints"), "fp_id", "subs", 0.7)
@@ -67,7 +72,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return find_spam(table(spark, sf, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {"p6_containers": p6_containers, "p6_fill": p6_fill, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found}
+QUERIES = {"p6_containers": p6_containers, "p6_fill": p6_fill, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p1_found": p1_found, "p2_found": p2_found, "p2_links": p2_links, "p2_clusters": p2_clusters, "p5_found": p5_found}
 
 SQL = {
     "p1_found": """

@@ -7,7 +7,7 @@ import pytest
 
 from arbora.llm import neardup
 from arbora.llm.bags import distinct_bags, jaccard, keyed, tokens
-from arbora.llm.incremental import History, absorb, cluster_updates, learn_weights, link_batch
+from arbora.llm.incremental import History, absorb, best_links, cluster_updates, learn_weights, link_batch
 from arbora.llm.neardup import near_duplicates
 
 SUBS = "array<struct<weight:bigint,digest:string>>"
@@ -125,19 +125,24 @@ def test_link_batch(spark, seed):
     assert len(got) == len(batch) and {i for i, f in got.items() if f} == decide(history, batch)
 
 
-def test_batches_one_by_one_give_the_same(spark):
+def test_batches_one_by_one_give_the_same(spark, tmp_path):
     rng = random.Random(8)
     bags = family(rng, 120)
     rng.shuffle(bags)
     history, batch = records(rng, bags[:40], 0), records(rng, bags[40:], 1000)
     schema = f"id bigint, weight bigint, digest string, subs {SUBS}"
-    h = History.build(spark.createDataFrame(history, schema), "id")
+    path = str(tmp_path / "history")
+    History.build(spark.createDataFrame(history, schema), "id").save(path)
     cases, clusters = set(), None
     for k in range(0, len(batch), 27):
+        h = History.load(spark, path)  # as if every batch came to another session
         linked = link_batch(h, spark.createDataFrame(batch[k : k + 27], schema), "id", ["id"])
+        by_id = {r[0]: r[3] for r in [*history, *batch]}
+        for r in best_links(linked).collect():
+            assert abs(similarity(by_id[r.id], by_id[r.linked_to]) - r.sim) < 1e-9 and r.sim >= 0.7
         cases |= {r.id for r in linked.decided.where("found_in is not null").collect()}
         clusters = cluster_updates(linked, clusters)
-        absorb(h, linked)
+        absorb(h, linked, path)
     assert cases == decide(history, batch) and clusters.columns == ["node", "component"]
 
 
