@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.functions.scalars import clean_digest, once, package_prefix, strip_version
-from arbora.model import LOOSE, STRICT, hard, percent
+from arbora.model import LOOSE, STRICT, Config, hard, percent
 from arbora.operators import classes, dendrogram, distance, fingerprint, graph, linkage, parsing, skew, stats
 from arbora.operators.partition import accept_reject, cluster, with_representative
 from arbora.plans.pipelines import clone_lookup, corpus_report
@@ -169,10 +169,16 @@ def threshold_percent(spark: SparkSession, sf: str) -> DataFrame:
     return fp.where(F.size("k") > 0).select("fp_id", F.size("k").cast("bigint").alias("n"), F.aggregate("k", F.lit(0).cast("bigint"), lambda a, s: a + s["weight"]).alias("total"))
 
 
+def _main_fingerprints(spark: SparkSession, sf: str, config: Config) -> DataFrame:
+    """Hashed before deduplication, so that the shuffle moves fingerprints and no trees."""
+    hashed = fingerprint.fingerprint_trees(table(spark, sf, "trees").select("tree_id", "ir"), "ir", config, with_subs=False)
+    return once(hashed.where("error is null").select("tree_id", "weight", "digest"), "tree_id")
+
+
 @query(f"WITH {_TREES}, {_FP.replace('fp_id, any_value(label)', 'fp_id, any_value(tree_id) AS tree_id, any_value(label)')} SELECT t.tree_id, fp.weight, fp.digest FROM t JOIN fp USING (tree_id) WHERE t.ir IS NOT NULL AND fp.digest IS NOT NULL")
 def tree_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """The kernel over trees; it must give what the table of fingerprints holds."""
-    hashed = fingerprint.fingerprint_trees(trees(spark, sf).select("tree_id", "ir"), "ir", STRICT, with_subs=False).where("error is null")
+    hashed = _main_fingerprints(spark, sf, STRICT)
     known = once(table(spark, sf, "fingerprints").where("digest is not null").select("fp_id", "tree_id"), "fp_id").select("tree_id")
     return hashed.join(known, "tree_id", "left_semi").select("tree_id", "weight", "digest")
 
@@ -189,7 +195,7 @@ def tree_bags(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def loose_tree_classes(spark: SparkSession, sf: str) -> DataFrame:
     """H9, Q1, A1: classes of trees by commutative fingerprints without identifiers."""
-    hashed = fingerprint.fingerprint_trees(trees(spark, sf).select("tree_id", "ir"), "ir", LOOSE, with_subs=False).where("error is null")
+    hashed = _main_fingerprints(spark, sf, LOOSE)
     return hashed.groupBy("weight", "digest").agg(F.count(F.lit(1)).cast("bigint").alias("n")).where("n > 1")
 
 
@@ -476,7 +482,9 @@ def partition_with_representative(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_UNITS} SELECT unit_id, md5(array_to_string(list_filter(string_split(text, ';;'), lambda p: trim(p, e' \\t\\r\\n\\f') <> '' AND NOT starts_with(trim(p, e' \\t\\r\\n\\f'), '#')), ';;')) AS digest FROM un WHERE text IS NOT NULL""")
 def directive_strip_split(spark: SparkSession, sf: str) -> DataFrame:
     """Texts without blank and directive pieces, as digests."""
-    return units(spark, sf).where("text is not null").select("unit_id", F.md5(parsing.strip_directives(F.col("text"))).alias("digest"))
+    # digests first: deduplicating them moves no texts
+    digests = table(spark, sf, "units").where("text is not null").select("unit_id", F.md5(parsing.strip_directives(F.col("text"))).alias("digest"))
+    return once(digests, "unit_id")
 
 
 @query(f"""WITH {_TREES} SELECT source, 'Top.' || def_name AS name, loc_start FROM t WHERE source IS NOT NULL AND def_name IS NOT NULL""")
