@@ -1,13 +1,15 @@
 """Keyword-stuffed and link-list pages, by mean pointwise mutual information of neighbouring words.
 
-First pass: the number of documents with each word and each pair of neighbouring words, over the whole corpus,
-pre-aggregated per partition. A pair is known if at least `support` of all documents have it; its PMI leaves the
-document at hand out. Second pass: a cue is spam if it is word salad that repeats itself or reads as a list, or a
+First pass: every text becomes its canonical cues, and documents with equal cues become one text. Second pass: the
+number of different texts with each word and each pair of neighbouring words, over the whole corpus, pre-aggregated
+per partition. A pair is known if at least `support` of all texts have it; PMI, rarity and function words leave the
+text at hand out, and with it all its copies. Third pass, over the different texts: a cue is spam if it is word salad that repeats itself or reads as a list, or a
 collocation that few documents have but this one repeats over and over without function words, or little but links.
 A document is spam if more than `share` of its cues are.
 
-Scale: two scans, one shuffle of pre-aggregated counts. The known pairs are broadcast: there are at most (mean
-different pairs of a document / support) of them, however large the corpus; the rest never leaves the executors.
+Scale: one scan of the documents, one shuffle of their canonical cues (copies meet by a hash, one per partition at
+most) and one of pre-aggregated counts. The known pairs are broadcast: there are at most (mean different pairs of a
+text / support) of them, however large the corpus; the rest never leaves the executors.
 """
 
 from __future__ import annotations
@@ -30,13 +32,18 @@ _SIGNS = ("://", "www.", "[dot]", "](", "<a ", "#")
 FLOOR, CEILING = -3.0, 6.0
 
 
-def units(text: str) -> list[tuple[list[str], int, int]]:
-    """(words, links, list separators) of every cue with a word or a link."""
+def canonical_cues(text: str) -> str:
+    """The cues with a word, a link or a separator, one a line, in canonical words."""
     text = unmarked(cut(text))
     if any(sign in text for sign in _SIGNS) or _HOST.search(text):
         text = _LINK.sub(f" {LINK} ", text)
+    return "\n".join(x for line in canonical(text).split("\n") if (x := " ".join(line.split())))
+
+
+def units_of(cues: str) -> list[tuple[list[str], int, int]]:
+    """(words, links, list separators) of every canonical cue with a word or a link."""
     out = []
-    for line in canonical(text).split("\n"):
+    for line in cues.split("\n"):
         links, listed = line.count(LINK), line.count(LISTING)
         if links or listed:
             line = line.replace(LINK, " ").replace(LISTING, " ")
@@ -46,10 +53,24 @@ def units(text: str) -> list[tuple[list[str], int, int]]:
     return out
 
 
+def units(text: str) -> list[tuple[list[str], int, int]]:
+    """(words, links, list separators) of every cue with a word or a link."""
+    return units_of(canonical_cues(text))
+
+
 def pairs_of(words: list[str]) -> list[str]:
     return [f"{a} {b}" for a, b in zip(words, words[1:])]
 
 
+def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
+    for b in batches:
+        cues = [canonical_cues(t) for t in b.column("text").to_pylist()]
+        keys = [xxhash.xxh3_128_digest(c.encode("ascii")) for c in cues]
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(keys, pa.binary()), pa.array(cues, pa.string())], ["id", "key", "cues"])
+
+
 def _count(flush: int):
     schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
 
@@ -59,9 +80,9 @@ def _count(flush: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for b in batches:
-            for text in b.column("text").to_pylist():
+            for cues in b.column("cues").to_pylist():
                 seen: set[str] = set()
-                for words, _, _ in units(text):
+                for words, _, _ in units_of(cues):
                     seen.update(words)
                     seen.update(pairs_of(words))
                 counts.update(seen)
@@ -74,9 +95,9 @@ def _count(flush: int):
     return run
 
 
-def spam_cues(text: str, pmi: dict[str, tuple[float, bool]], common: set[str]) -> tuple[int, int]:
-    """(spam cues, all cues). pmi: of known pairs, with whether few documents have the pair; other pairs are rare."""
-    found = units(text)
+def spam_cues(cues: str, pmi: dict[str, tuple[float, bool]], common: set[str]) -> tuple[int, int]:
+    """(spam cues, all cues). cues: canonical. pmi: of known pairs, with whether few texts have the pair; other pairs are rare."""
+    found = units_of(cues)
     repeats: Counter = Counter()
     listed, different = [], set()
     for words, _, _ in found:
@@ -109,33 +130,37 @@ def spam_cues(text: str, pmi: dict[str, tuple[float, bool]], common: set[str]) -
 def find_spam(docs: DataFrame, id_col: str, text_col: str, share: float = 0.5, support: float = 2e-4, function_share: float = 0.03, rare_share: float = 0.01, flush: int = 400_000) -> DataFrame:
     """(id, spam_share) of the documents where more than `share` of the cues are spam.
 
-    Defined results: a null id, a null or an empty text is no spam; a repeated id is one document; a document without words and
-    links is no spam; other columns are ignored."""
+    Defined results: a null id, a null or an empty text is no spam; a repeated id is one document; copies of a text count once and are
+    judged alike; a document without words and links is no spam; other columns are ignored."""
     scratch = Scratch(docs.sparkSession, "spam")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    counts = scratch.write(texts.select("text").mapInArrow(_count(flush), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")), "counts")
-    n_docs = (counts.where("term = ''").select("n").first() or [0])[0]
-    least = max(3, math.ceil(support * n_docs))
+    kind = texts.schema["id"].dataType.simpleString()
+    rows = scratch.write(texts.mapInArrow(_canonical, f"id {kind}, key binary, cues string"), "rows")
+    different = scratch.write(rows.select("key", "cues").dropDuplicates(["key"]), "different")
+    counts = scratch.write(different.select("cues").mapInArrow(_count(flush), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")), "counts")
+    n_texts = (counts.where("term = ''").select("n").first() or [0])[0]
+    least = max(3, math.ceil(support * n_texts))
     kept = counts.where((F.col("term") != "") & (F.col("n") >= least)).collect()
-    single = {r[0]: r[1] for r in kept if " " not in r[0]}
+    others = n_texts - 1
+    single = {r[0]: r[1] - 1 for r in kept if " " not in r[0]}
     pmi = {}
-    for term, n in ((r[0], r[1]) for r in kept if " " in r[0]):
+    for term, n in ((r[0], r[1] - 1) for r in kept if " " in r[0]):
         a, b = term.split(" ")
-        value = math.log2((n - 1) * n_docs / (single[a] * single[b]))
-        pmi[term] = (min(max(value, FLOOR), CEILING), n < rare_share * n_docs)
-    common = {w for w, n in single.items() if n >= function_share * n_docs}
+        value = math.log2(n * others / (single[a] * single[b]))
+        pmi[term] = (min(max(value, FLOOR), CEILING), n < rare_share * others)
+    common = {w for w, n in single.items() if n >= function_share * others}
     shared = docs.sparkSession.sparkContext.broadcast((pmi, common))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, usual = shared.value
         for b in batches:
             at, values = [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
-                spam, cue_count = spam_cues(text, known, usual)
+            for i, cues in enumerate(b.column("cues").to_pylist()):
+                spam, cue_count = spam_cues(cues, known, usual)
                 if cue_count and spam > share * cue_count:
                     at.append(i)
                     values.append(spam / cue_count)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int32())), pa.array(values, pa.float64())], ["id", "spam_share"])
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at, pa.int32())), pa.array(values, pa.float64())], ["key", "spam_share"])
 
-    kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(judge, f"id {kind}, spam_share double").dropDuplicates(["id"])
+    judged = scratch.write(different.mapInArrow(judge, "key binary, spam_share double"), "judged")
+    return rows.select("id", "key").join(judged, "key").select("id", "spam_share").dropDuplicates(["id"])

@@ -121,6 +121,16 @@ def test_find_spam(spark):
     assert {r.id for r in find_spam(df, "doc_id", "text", flush=50).collect()} == set(spam)
 
 
+def test_spam_copied_into_a_third_of_all_documents(spark):
+    rng = random.Random(1)
+    docs = [(i, subtitle([talk(rng) for _ in range(20)])) for i in range(200)]
+    pool = ["zorbex", "quilta", "mavron", "tuskel"]
+    page = subtitle([", ".join(rng.choice(pool) + " " + rng.choice(["sale", "online", "cheap"]) for _ in range(5)) for _ in range(12)])
+    copies = [(1000 + i, page if i % 2 else page.upper()) for i in range(100)]
+    df = spark.createDataFrame(docs + copies, "doc_id bigint, text string")
+    assert {r.id for r in find_spam(df, "doc_id", "text").collect()} == {k for k, _ in copies}
+
+
 def test_units_of_long_text():
     assert len(units("word " * 300_000)) == 1 and units("[x]") == [] and units("#a #b")[0][1] == 2
 
