@@ -3,13 +3,14 @@
 First pass: every text becomes its canonical cues, and documents with equal cues become one text. Second pass: the
 number of different texts with each word and each pair of neighbouring words, over the whole corpus, pre-aggregated
 per partition. A pair is known if at least `support` of all texts have it; PMI, rarity and function words leave the
-text at hand out, and with it all its copies. Third pass, over the different texts: a cue is spam if it is word salad that repeats itself or reads as a list, or a
-collocation that few documents have but this one repeats over and over without function words, or little but links.
+text at hand out, and with it all its copies. Third pass, over the different texts: a cue is spam if it is word salad (low mean PMI) that repeats itself, reads as a list or has no function words, or a
+collocation that few documents have but this one repeats over and over, within a cue or across cues, without
+function words, or little but links.
 A document is spam if more than `share` of its cues are.
 
 Scale: one scan of the documents, one shuffle of their canonical cues (copies meet by a hash, one per partition at
-most) and one of pre-aggregated counts. The known pairs are broadcast: there are at most (mean different pairs of a
-text / support) of them, however large the corpus; the rest never leaves the executors.
+most) and one of pre-aggregated counts. The known pairs and words are broadcast: there are at most (mean different pairs and words
+of a text / support) of them, however large the corpus; the rest never leaves the executors.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ _LINK = re.compile(r"(?:https?://|www\.)[^\s\0]+|<a\s[^>\0]*>|\]\([^)\0]*\)|[^\s
 _HOST = re.compile(r"\.(?:com|org|net|info|biz|example|test|invalid)\b", re.I)
 _SIGNS = ("://", "www.", "[dot]", "](", "<a ", "#")
 FLOOR, CEILING = -3.0, 6.0
+#: Mean PMI below which a cue is salad.
+LOW = -1.35
+#: Occurrences, equal cues included, from which a pair is a keyword's; different pairs without which low PMI is chance.
+LOUD, EVIDENCE = 6, 8
 
 
 def canonical_cues(text: str) -> str:
@@ -95,36 +100,55 @@ def _count(flush: int):
     return run
 
 
-def spam_cues(cues: str, pmi: dict[str, tuple[float, bool]], common: set[str]) -> tuple[int, int]:
-    """(spam cues, all cues). cues: canonical. pmi: of known pairs, with whether few texts have the pair; other pairs are rare."""
+def spam_cues(cues: str, pmi: dict[str, tuple[float, bool]], common: set[str], known: set[str]) -> tuple[int, int]:
+    """(spam cues, all cues). cues: canonical. pmi: of known pairs, with whether few texts have the pair; other pairs are rare.
+
+    known: words that enough texts have for a missing pair of them to say something."""
     found = units_of(cues)
     repeats: Counter = Counter()
+    total: Counter = Counter()
     listed, different = [], set()
     for words, _, _ in found:
         pairs = pairs_of(words)
         listed.append(pairs)
+        total.update(pairs)
         key = tuple(words)
-        if key not in different:  # a refrain sung again is no further evidence
+        if key not in different:  # for PMI, a refrain sung again is no further evidence
             different.add(key)
             repeats.update(set(pairs))
-    often_enough = max(3, 0.12 * len(different))
-    again = {p for p, n in repeats.items() if n >= often_enough and ((known := pmi.get(p)) is None or known[1])}
-    spam = 0
+
+    def rare(p: str) -> bool:
+        return (value := pmi.get(p)) is None or value[1]
+
+    often_enough, loud_enough = max(3, 0.12 * len(different)), max(LOUD, 0.12 * len(found))
+    again = {p for p, n in repeats.items() if n >= often_enough and rare(p)}
+    loud = {p for p, n in total.items() if n >= loud_enough and rare(p)}
+    spam, weak, evidence = 0, 0, set()
     for (words, links, separators), pairs in zip(found, listed):
         if links and len(words) <= 4 * links:
             spam += 1
             continue
         often = bool(again) and not again.isdisjoint(pairs)
         listing = separators >= max(2, 0.25 * len(words))
-        if often and (listing or len(words) >= 4 and 2 * len(set(words)) <= len(words) or sum(w in common for w in words) < 0.2 * len(words)):
+        stuffed = len(words) >= 4 and 2 * len(set(words)) <= len(words)
+        few = sum(w in common for w in words) < 0.2 * len(words)
+        if often and (listing or stuffed or few):
             spam += 1
-        elif (often or listing) and pairs:
-            total = 0.0
-            for p in pairs:
-                known = pmi.get(p)
-                total += known[0] if known else FLOOR
-            spam += total < -1.35 * len(pairs)
-    return spam, len(found)
+            continue
+        if few and pairs and (not loud.isdisjoint(pairs) or stuffed and any(n >= 3 and rare(p) for p, n in Counter(pairs).items())):
+            if len(set(words)) > 1:  # one word sung over and over is no collocation
+                spam += 1
+                continue
+        if (often or listing) and pairs:
+            if sum(value[0] if (value := pmi.get(p)) else FLOOR for p in pairs) < LOW * len(pairs):
+                spam += 1
+                continue
+        if few and pairs:
+            judged = [p for p, a, b in zip(pairs, words, words[1:]) if a in known and b in known]
+            if 2 * len(judged) >= len(pairs) and sum(value[0] if (value := pmi.get(p)) else FLOOR for p in judged) < LOW * len(judged):
+                weak += 1
+                evidence.update(judged)
+    return spam + (weak if len(evidence) >= EVIDENCE else 0), len(found)
 
 
 def find_spam(docs: DataFrame, id_col: str, text_col: str, share: float = 0.5, support: float = 2e-4, function_share: float = 0.03, rare_share: float = 0.01, flush: int = 400_000) -> DataFrame:
@@ -149,14 +173,14 @@ def find_spam(docs: DataFrame, id_col: str, text_col: str, share: float = 0.5, s
         value = math.log2(n * others / (single[a] * single[b]))
         pmi[term] = (min(max(value, FLOOR), CEILING), n < rare_share * others)
     common = {w for w, n in single.items() if n >= function_share * others}
-    shared = docs.sparkSession.sparkContext.broadcast((pmi, common))
+    shared = docs.sparkSession.sparkContext.broadcast((pmi, common, set(single)))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, usual = shared.value
+        weights, usual, words = shared.value
         for b in batches:
             at, values = [], []
             for i, cues in enumerate(b.column("cues").to_pylist()):
-                spam, cue_count = spam_cues(cues, known, usual)
+                spam, cue_count = spam_cues(cues, weights, usual, words)
                 if cue_count and spam > share * cue_count:
                     at.append(i)
                     values.append(spam / cue_count)

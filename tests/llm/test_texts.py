@@ -131,6 +131,19 @@ def test_spam_copied_into_a_third_of_all_documents(spark):
     assert {r.id for r in find_spam(df, "doc_id", "text").collect()} == {k for k, _ in copies}
 
 
+def test_spam_without_lists(spark):
+    rng = random.Random(2)
+    nouns = [f"{a}{b}{c}" for a in ("door", "river", "letter", "garden", "train") for b in "aeio" for c in ("way", "man", "side", "post", "bell", "yard", "hand", "song", "gate", "mark", "ship", "road", "wind", "pole", "nest")]
+    docs = [(i, subtitle([f"I think the {rng.choice(nouns)} is by the {rng.choice(nouns)}." for _ in range(3)])) for i in range(300)]
+    spam = {
+        1001: subtitle(["buy cheap shoes online"] * 60), 1002: "shoes cheap shoes sale " * 30,
+        1003: subtitle([" ".join(rng.sample(nouns, 5)) for _ in range(12)]), 1004: " ".join(rng.sample(nouns, 60)),
+    }
+    fine = {2001: subtitle(["la la river, the song is old"] * 12), 2002: subtitle(["la la la la la"] * 12), 2003: subtitle(["Tule tänne, rakas ystävä", "Kuka sinä olet", "Minne menet huomenna aamulla"])}
+    df = spark.createDataFrame(docs + [*spam.items(), *fine.items()], "doc_id bigint, text string")
+    assert {r.id for r in find_spam(df, "doc_id", "text").collect()} == set(spam)
+
+
 def test_units_of_long_text():
     assert len(units("word " * 300_000)) == 1 and units("[x]") == [] and units("#a #b")[0][1] == 2
 
