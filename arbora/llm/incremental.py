@@ -58,6 +58,20 @@ def learn_weights(patterns: list[tuple[dict[str, int], int]], rounds: int = 40)
     return {f: [math.log2(m[f][i] / u[f][i]) for i in range(k)] for f, k in FIELDS.items()}
 
 
+def _node(side: str, *ids: str):
+    return F.concat(F.lit(side), F.coalesce(*[F.col(i).cast("string") for i in ids]))
+
+
+def _nodes(side: str, records: DataFrame) -> DataFrame:
+    """(weight, digest, node) of records with a key; a record without bag is a node by its own id."""
+    return records.where("weight is not null and digest is not null").select("weight", "digest", _node(side, "bag", "id").alias("node")).distinct()
+
+
+def _key_stars(nodes: DataFrame) -> DataFrame:
+    """(x, y): every node of a key with the key's smallest node."""
+    return nodes.join(nodes.groupBy("weight", "digest").agg(F.min("node").alias("y")), ["weight", "digest"]).where("node <> y").select(F.col("node").alias("x"), "y")
+
+
 class History:
     """The persisted side. Columns of df are named by the arguments; others are ignored."""
 
@@ -65,21 +79,31 @@ class History:
         self.spark, self.threshold = spark, threshold
         self.scratch = Scratch(spark, "history")
         self.common: dict[int, int] = {}
-        self.keys = self.bags = self.blocks = None
+        self.keys = self.bags = self.blocks = self.nodes = self._clusters = None
 
-    def add(self, bags: DataFrame, keys: DataFrame) -> DataFrame:
-        """Append accepted rows' keys (weight, digest) and bags (bag, k1, k2, elements), ids being new; the new blocking keys."""
+    def add(self, bags: DataFrame, keys: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Append accepted rows' keys (weight, digest), bags (bag, k1, k2, elements) and nodes (weight, digest, node), ids being new; the new blocking keys."""
         if self.keys is None:
             self.common = common_elements(bags)
         new = self.scratch.write(blocks(bags, self.common, self.threshold), "blocks")
         self.keys = keys if self.keys is None else self.keys.union(keys)
         self.bags = bags if self.bags is None else self.bags.union(bags)
         self.blocks = new if self.blocks is None else self.blocks.union(new)
+        self.nodes = nodes if self.nodes is None else self.nodes.union(nodes)
+        self._clusters = None
         return new
 
+    def representatives(self) -> DataFrame:
+        """(node, component) of every history node that is linked to another, by bags or keys; built once and again after add()."""
+        if self._clusters is None:
+            close = verified(_met(self.blocks, self.blocks, self.threshold, among=True).select("a", "b"), self.bags, self.bags, self.threshold)
+            edges = close.select(_node("h", "a").alias("x"), _node("h", "b").alias("y")).union(_key_stars(self.nodes))
+            self._clusters = self.scratch.write(connected_components(edges), "representatives")
+        return self._clusters
+
     def save(self, path: str) -> None:
         """Store the tables in a new folder; the order of elements is stored too, as blocking keys depend on it."""
-        for name in ("keys", "bags", "blocks"):
+        for name in ("keys", "bags", "blocks", "nodes"):
             getattr(self, name).write.parquet(f"{path}/{name}")
         order = [(k, v, self.threshold) for k, v in self.common.items()] or [(None, None, self.threshold)]
         self.spark.createDataFrame(order, "element bigint, n bigint, threshold double").coalesce(1).write.parquet(f"{path}/order")
@@ -90,7 +114,7 @@ class History:
         order = spark.read.parquet(f"{path}/order").collect()
         self = cls(spark, order[0]["threshold"])
         self.common = {r["element"]: r["n"] for r in order if r["element"] is not None}
-        self.keys, self.bags, self.blocks = (spark.read.parquet(f"{path}/{name}") for name in ("keys", "bags", "blocks"))
+        self.keys, self.bags, self.blocks, self.nodes = (spark.read.parquet(f"{path}/{name}") for name in ("keys", "bags", "blocks", "nodes"))
         return self
 
     @classmethod
@@ -100,7 +124,8 @@ class History:
         rows = keyed(df, id_col, "subs")
         bags = self.scratch.write(distinct_bags(rows), "bags")
         keys = self.scratch.write(df.select("weight", clean_digest("digest").alias("digest")).where("weight is not null and digest is not null").distinct(), "keys")
-        self.add(bags, keys)
+        records = df.select(F.col(id_col).alias("id"), "weight", clean_digest("digest").alias("digest")).where("id is not null")
+        self.add(bags, keys, _nodes("h", records.join(members(rows, bags), "id", "left")))
         return self
 
 
@@ -175,7 +200,7 @@ def link_batch(history: History, batch: DataFrame, id_col: str, order: list[str]
     cases = _resolve(marked.where("not old"), close, scratch)
     decided = marked.join(cases.withColumn("later", F.lit(True)), "at", "left").select(
         "id", F.when(F.col("old"), "history").when(F.col("later"), "batch").alias("found_in"))
-    return Linked(decided=decided, matches=matches, close=close, weights=weights, bags=bags, records=marked, members=who)
+    return Linked(decided=decided, matches=matches, close=close, weights=weights, bags=bags, records=marked, members=who, history=history)
 
 
 def _resolve(records: DataFrame, close: DataFrame, scratch: Scratch) -> DataFrame:
@@ -212,9 +237,10 @@ def absorb(history: History, linked: Linked, path: str | None = None) -> None:
     accepted = linked.records.join(linked.decided.where("found_in is null").select("id"), "id", "left_semi")
     kept = history.scratch.write(linked.bags.join(accepted.select("bag").distinct(), "bag", "left_semi"), "bags")
     keys = history.scratch.write(accepted.where("weight is not null and digest is not null").select("weight", "digest").distinct(), "keys")
-    new = history.add(kept, keys)
+    nodes = history.scratch.write(_nodes("h", accepted), "nodes")
+    new = history.add(kept, keys, nodes)
     if path is not None:
-        for name, table in (("keys", keys), ("bags", kept), ("blocks", new)):
+        for name, table in (("keys", keys), ("bags", kept), ("blocks", new), ("nodes", nodes)):
             table.write.mode("append").parquet(f"{path}/{name}")
 
 
@@ -230,11 +256,21 @@ def best_links(linked: Linked) -> DataFrame:
 def cluster_updates(linked: Linked, representatives: DataFrame | None = None) -> DataFrame:
     """(node, component) for the clusters a batch touched, and for no others.
 
-    Nodes are 'h<bag>' of history and 'b<bag>' of the batch. representatives (node, component) of earlier batches
-    stand in for the history bags they cover, so whole old clusters are renamed by one row each: the union-find's
-    find step is a join, its union step the contraction of the touched representatives."""
-    edges = linked.matches.select(F.concat(F.lit("b"), F.col("a")).alias("x"), F.concat(F.lit("h"), F.col("b")).alias("y"))
-    edges = edges.union(linked.close.select(F.concat(F.lit("b"), F.col("a")).alias("x"), F.concat(F.lit("b"), F.col("b")).alias("y")))
-    if representatives is not None:
-        edges = edges.join(representatives.withColumnRenamed("node", "y"), "y", "left").select("x", F.coalesce("component", "y").alias("y"))
-    return connected_components(edges)
+    Nodes are 'h<bag>' of history and 'b<bag>' of the batch, or by the record's own id where it has no bag. Links are similar
+    bags and equal keys, between batch and history and among all records of the batch, cases included. representatives
+    (node, component), by default those of history, stand in for the history nodes they cover, so whole old clusters
+    are contracted to one row each: the union-find's find step is a join, its union step the contraction of the touched
+    representatives. Every node of a touched history cluster comes out."""
+    history, scratch = linked.history, linked.history.scratch
+    old = history.representatives() if representatives is None else representatives
+    own = scratch.write(blocks(linked.bags, common_elements(linked.bags), history.threshold), "own-blocks")
+    close = verified(_met(own, own, history.threshold, among=True).select("a", "b"), linked.bags, linked.bags, history.threshold)
+    nodes = scratch.write(_nodes("b", linked.records), "batch-nodes")
+    heads = history.nodes.groupBy("weight", "digest").agg(F.min("node").alias("y"))
+    across = linked.matches.select(_node("b", "a").alias("x"), _node("h", "b").alias("y"))
+    across = across.union(nodes.join(heads, ["weight", "digest"]).select(F.col("node").alias("x"), "y"))
+    edges = across.join(old.withColumnRenamed("node", "y"), "y", "left").select("x", F.coalesce("component", "y").alias("y"))
+    edges = edges.union(close.select(_node("b", "a").alias("x"), _node("b", "b").alias("y"))).union(_key_stars(nodes))
+    named = scratch.write(connected_components(edges), "named")
+    inside = old.join(named.select(F.col("node").alias("component"), F.col("component").alias("top")), "component").select("node", F.col("top").alias("component"))
+    return named.join(old.select("node"), "node", "left_anti").select("node", "component").union(inside)

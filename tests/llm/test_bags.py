@@ -161,3 +161,38 @@ def test_weights_separate_agreement_from_disagreement():
     patterns = [({"hits": 3, "size": 2, "top": 1}, 900), ({"hits": 0, "size": 0, "top": 0}, 3000), ({"hits": 2, "size": 2, "top": 0}, 200), ({"hits": 0, "size": 2, "top": 0}, 500)]
     w = learn_weights(patterns)
     assert w["hits"][3] > 0 > w["hits"][0] and w["top"][1] > w["top"][0] and learn_weights([])["top"] == [0.0, 0.0]
+
+
+def test_clusters_follow_all_links(spark):
+    # brute force over history and batch: similar bags or equal keys, whatever was decided
+    rng = random.Random(4)
+    bags = family(rng, 110)
+    rng.shuffle(bags)
+    history, batch = records(rng, bags[:50], 0), records(rng, bags[50:], 1000)
+    schema = f"id bigint, weight bigint, digest string, subs {SUBS}"
+    linked = link_batch(History.build(spark.createDataFrame(history, schema), "id"), spark.createDataFrame(batch, schema), "id", ["id"])
+    got = {r.node: r.component for r in cluster_updates(linked).collect()}
+
+    key = lambda d: None if d is None else d.strip().lower()
+    nodes, root = {}, {}
+    for side, rows in (("h", history), ("b", batch)):
+        seen = {}
+        for i, w, d, b in rows:
+            bag = tuple(sorted(key(x) for _, x in b)) if b else None
+            name = f"{side}{seen.setdefault(bag, i) if bag else i}"
+            nodes.setdefault(name, (b, set()))[1].add((w, key(d)))
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    names = sorted(nodes)
+    for n, x in enumerate(names):
+        for y in names[n + 1 :]:
+            if similarity(nodes[x][0], nodes[y][0]) >= 0.7 or any(k[1] is not None for k in nodes[x][1] & nodes[y][1]):
+                a, b = sorted((find(x), find(y)))
+                root[b] = a
+    groups = Counter(find(x) for x in names)
+    touched = {find(x) for x in names if x[0] == "b"}
+    assert got == {x: find(x) for x in names if groups[find(x)] > 1 and find(x) in touched}
