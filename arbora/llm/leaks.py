@@ -3,8 +3,9 @@
 A leak is a window of `words` words in a row of an item that a document's spoken text repeats with at most
 `errors` letter edits. Each item's canonical letters are cut into pieces so short that every window holds at least
 errors + 1 whole pieces; by the pigeonhole principle a leaked window then contains an exact piece hit. One
-automaton finds the piece hits of all items in a single pass over a document; hits whose surroundings rule out a
-leak are dropped by a second pigeonhole test; what is left is verified by Myers' bit-parallel edit distance.
+automaton finds the piece hits of all items in a single pass over a document; windows with too many edited
+blocks are dropped by a second pigeonhole test; what is left is verified by Myers' bit-parallel edit distance. Windows of too few
+letters to cut (numbers, other scripts) are compared exactly, word by word.
 
 Scale: one scan of the corpus without any shuffle; the items (a held-out set of fixed, documented size) are the
 only thing sent to the executors, and their size is checked against `most_item_mb` before.
@@ -12,6 +13,7 @@ only thing sent to the executors, and their size is checked against `most_item_m
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.subtitles import plain, spoken_letters
+from arbora.llm.subtitles import SEPARATOR, plain, spoken_letters, unmarked
 
 
 def myers_within(pattern: str, text: str, k: int) -> bool:
@@ -47,6 +49,11 @@ def myers_within(pattern: str, text: str, k: int) -> bool:
     return False
 
 
+def spoken_words(text: str) -> list[str]:
+    """The spoken words as they are written, in any script, without times and markup."""
+    return unmarked(re.sub(SEPARATOR, " ", plain(text), flags=re.M)).casefold().split()
+
+
 class Items:
     """Pieces and windows of all items, and the automaton over the pieces."""
 
@@ -55,6 +62,7 @@ class Items:
         self.letters: dict[int, str] = {}
         self.windows: dict[int, list[tuple[int, int]]] = {}
         self.pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.short: dict[str, list[int]] = defaultdict(list)
         for item, text in items:
             tokens = plain(text).split()
             starts = [0]
@@ -62,24 +70,29 @@ class Items:
                 starts.append(len(spoken_letters(" ".join(tokens[: i + 1]))))
             letters = spoken_letters(" ".join(tokens))
             spans = [(starts[i], starts[i + words]) for i in range(len(tokens) - words + 1)]
-            spans = [s for s in spans if s[1] > s[0]]
+            said = spoken_words(text)
+            for i in range(len(said) - words + 1):
+                window = " ".join(said[i : i + words])
+                if (len(spoken_letters(window)) + 1) // (errors + 2) < 4:
+                    self.short[f" {window} "].append(item)
+            # windows of too few letters to cut are compared word by word
+            size = {s: (s[1] - s[0] + 1) // (errors + 2) for s in spans}
+            spans = [s for s in spans if size[s] >= 4]
             if not spans:
                 continue
-            size = (min(b - a for a, b in spans) + 1) // (errors + 2)
-            if size < 4:
-                continue
+            size = min(size[s] for s in spans)
             self.letters[item], self.windows[item] = letters, spans
             for p in range(0, len(letters) - size + 1, size):
                 self.pieces[letters[p : p + size]].append((item, p))
 
     def state(self) -> tuple:
         """Plain data, for a broadcast."""
-        return self.words, self.errors, self.letters, self.windows, dict(self.pieces)
+        return self.words, self.errors, self.letters, self.windows, dict(self.pieces), dict(self.short)
 
     @classmethod
     def from_state(cls, state: tuple) -> Items:
         self = cls([], state[0], state[1])
-        _, _, self.letters, self.windows, self.pieces = state
+        _, _, self.letters, self.windows, self.pieces, self.short = state
         return self
 
     def automaton(self):
@@ -91,21 +104,17 @@ class Items:
         a.make_automaton()
         return a
 
-    def near(self, item: str, text: str, p: int, end: int, at: int) -> bool:
-        """Second pigeonhole test: a window around a hit keeps a block of letters next to the piece, on one side at least."""
-        k = self.errors
-        block = 2 * (k + 1) + 2
-        for j in range(k + 1):
-            a = end + j * block // 2
-            if a + block <= len(item) and text.find(item[a : a + block], at + a - p - k, at + a - p + block + k) >= 0:
-                return True
-            b = p - j * block // 2
-            if b - block >= 0 and text.find(item[b - block : b], at + b - block - p - k, at + b - p + k) >= 0:
-                return True
-        return False
+    def short_automaton(self):
+        import ahocorasick
+
+        a = ahocorasick.Automaton()
+        for window, items in self.short.items():
+            a.add_word(window, items)
+        a.make_automaton()
+        return a
 
     def dense(self, window: str, text: str, start: int) -> bool:
-        """Third pigeonhole test: of 2 (errors + 1) blocks of a window, at most `errors` can hold an edit."""
+        """Second pigeonhole test: of 2 (errors + 1) blocks of a window, at most `errors` can hold an edit."""
         k, n = self.errors, 2 * (self.errors + 1)
         missing, m = 0, len(window)
         for j in range(n):
@@ -127,8 +136,6 @@ class Items:
                 if item in found:
                     continue
                 letters = self.letters[item]
-                if not self.near(letters, text, p, p + size, at):
-                    continue
                 for a, b in self.windows[item]:
                     if a > p or b < p + size:
                         continue
@@ -149,8 +156,8 @@ class Items:
 def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, words: int = 15, errors: int = 3, most_item_mb: float = 64.0) -> DataFrame:
     """(doc, item): the documents that repeat at least `words` words in a row of an item.
 
-    Defined results: null ids and texts leak nothing; an item of fewer words than the window, or whose windows are too
-    short to cut, can't leak; a repeated id is one document or item; an empty side gives an empty table; other
+    Defined results: null ids and texts leak nothing; an item of fewer words than the window can't
+    leak; a window too short to cut leaks where it is repeated exactly; a repeated id is one document or item; an empty side gives an empty table; other
     columns are ignored. Raises ValueError if the items' texts exceed most_item_mb, as they are held in memory."""
     kept = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
     volume = kept.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
@@ -163,10 +170,14 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Items.from_state(shared.value)
         automaton = index.automaton() if index.pieces else None
+        short = index.short_automaton() if index.short else None
         for batch in batches:
             at, hits = [], []
-            for i, t in enumerate(batch.column("text").to_pylist() if automaton else []):
-                for item in index.leaked(spoken_letters(t), automaton):
+            for i, t in enumerate(batch.column("text").to_pylist() if automaton or short else []):
+                found = set(index.leaked(spoken_letters(t), automaton)) if automaton else set()
+                if short:
+                    found.update(x for _, items in short.iter(f" {' '.join(spoken_words(t))} ") for x in items)
+                for item in sorted(found):
                     at.append(i)
                     hits.append(item)
             yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(at, pa.int32())), pa.array(hits, pa.int64())], ["doc", "item"])

@@ -91,6 +91,24 @@ def test_find_leaks(spark):
         find_leaks(docs, "doc_id", "text", items, "item_id", "text", most_item_mb=1e-6)
 
 
+def test_leaks_of_short_windows_and_spread_edits(spark):
+    numbers = " ".join(f"{i * 37 % 1000}" for i in range(20))
+    items = spark.createDataFrame([(1, numbers + " " + " ".join(item(1))), (2, "漢字 かな " * 9)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "so " + " ".join(item(1)[5:25])), (2, "he said " + " ".join(numbers.split()[2:17])), (3, "x " + "漢字 かな " * 8), (4, " ".join(numbers.split()[2:16]))], "doc_id bigint, text string")
+    assert {tuple(r) for r in find_leaks(docs, "doc_id", "text", items, "item_id", "text").collect()} == {(1, 1), (2, 1), (3, 2)}
+    # three substitutions anywhere in a leak of exactly 15 words
+    words, rng = item(5, 15), random.Random(9)
+    letters = spoken_letters(" ".join(words))
+    index = Items([(7, " ".join(words))], 15, 3)
+    auto = index.automaton()
+    noise = spoken_letters(" ".join(item(6, 10)))
+    for _ in range(4000):
+        leak = list(letters)
+        for i in rng.sample(range(len(leak)), 3):
+            leak[i] = "z"
+        assert index.leaked(noise + "".join(leak) + noise, auto) == [7]
+
+
 # ---- spam -------------------------------------------------------------------------------------------------
 
 def talk(rng):
