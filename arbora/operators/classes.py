@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.model import KIND_CLASSES
+from arbora.operators.skew import chunk_states, number_within_keys
 from arbora.session import Scratch
 
 
@@ -27,6 +28,12 @@ def class_lists(members: DataFrame, most: int = 10_000) -> DataFrame:
     return members.where(F.col("n") <= most).groupBy("weight", "digest").agg(F.sort_array(F.collect_list("label")).alias("labels"))
 
 
+def class_chunks(members: DataFrame, chunk_rows: int = 10_000) -> DataFrame:
+    """(weight, digest, chunk, labels sorted) of every class, chunk_rows members a chunk but the last; chunks follow in label order."""
+    numbered = number_within_keys(members.select("weight", "digest", "label"), ["weight", "digest"], ["label"])
+    return chunk_states(numbered, ["weight", "digest"], [F.sort_array(F.collect_list("label")).alias("labels")], chunk_rows)
+
+
 def first_bag(rows: DataFrame, order: str) -> DataFrame:
     """(weight, digest, subs sorted): the bag of the first row per main fingerprint."""
     return rows.groupBy("weight", "digest").agg(F.sort_array(F.min_by("subs", order)).alias("subs"))

@@ -261,9 +261,9 @@ def exact_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_FP} SELECT weight, digest, string_agg(label, '|' ORDER BY label) AS labels FROM fp WHERE digest IS NOT NULL AND label IS NOT NULL GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 10000")
 def class_label_lists(spark: SparkSession, sf: str) -> DataFrame:
-    """A1, A2: classes of bounded size as lists."""
+    """A1, A2: classes as lists; one of more than 10,000 members is several rows, in label order."""
     rows = classes.exact_classes(fingerprints(spark, sf).where("digest is not null and label is not null"))
-    return classes.class_lists(rows).select("weight", "digest", F.array_join("labels", "|").alias("labels"))
+    return classes.class_chunks(rows).select("weight", "digest", F.array_join("labels", "|").alias("labels"))
 
 
 @query(f"""WITH {_FP}, f AS (SELECT weight, digest, min(fp_id) AS fp_id FROM fp WHERE digest IS NOT NULL AND subs IS NOT NULL GROUP BY 1, 2)

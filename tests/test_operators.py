@@ -211,6 +211,12 @@ def test_database_and_reports(spark, tmp_path):
     assert "has" not in rec and spark.range(1).select(classes.human_record(F.lit("f"), F.lit("l"), F.lit(2), F.array(F.lit("a"))).alias("r")).first().r == "f in l matches 2 definition(s):\n* a"
 
 
+def test_large_classes_come_in_chunks(spark):
+    rows = spark.createDataFrame([(2, "d", f"n{i:02}") for i in range(12)] + [(3, "e", "x")] * 2, "weight bigint, digest string, label string")
+    got = {(r.digest, r.chunk): list(r.labels) for r in classes.class_chunks(classes.exact_classes(rows), 5).collect()}
+    assert got == {("d", 0): [f"n{i:02}" for i in range(5)], ("d", 1): [f"n{i:02}" for i in range(5, 10)], ("d", 2): ["n10", "n11"], ("e", 0): ["x", "x"]}
+
+
 def test_first_bag_wins(spark):
     rows = spark.createDataFrame([(2, "d", [(1, "b"), (1, "a")], 5), (2, "d", [(1, "z")], 9)], "weight bigint, digest string, subs array<struct<weight:bigint,digest:string>>, o int")
     assert [[s.digest for s in r.subs] for r in classes.first_bag(rows, "o").collect()] == [["a", "b"]]
