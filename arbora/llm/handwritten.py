@@ -1,15 +1,19 @@
-"""Generated, minified and vendored source files, by layout statistics with thresholds per language.
-
-Every line gets a kind from its layout: a line directive, mostly numeric literals, a row of separated data, numbered
-machine identifiers, a long encoded run, or overlong code; comments and prose in string literals are set aside
-first, so files that only talk about such things count as hand-written. A file whose lines are for more than
-`share` (by characters) of such kinds was not written by hand. A file is a vendored copy if its ownership notice
-names another project than its package, or, where it has none, if its code is similar (five-word shingles, 0.8 or
-more, exact) to a file whose notice does.
-
-Scale: one Python pass over the texts gives a few numbers and MinHash bands per file. Bands are matched against
-one representative per (band, owner), so a file copied into a third of all packages costs one row per copy and
-band; texts are read again only for the candidates.
+"""Generated, minified and vendored source files, by layout statistics with limits per language.
+
+Statistics are taken of a file's code: comments and prose in string literals are set aside first, so files that only
+talk about such things count as hand-written. A file was made by a program if a statistic is beyond its language's
+limit - mean line length (squeezed code in one line), mean line length with white-space share (squeezed code that was
+wrapped), numeric-literal density (tables), longest encoded run with alphanumeric share (blobs) - or if most of its
+characters are on lines of a machine's layout: line directives, numeric literals, rows of separated data, numbered
+machine identifiers, encoded runs, overlong code.
+
+A file is a copy if its ownership notice names another package of the table than its own; if its path has the folder
+of another package that has a file of that name; or if its code equals, or is similar to (five-word shingles, 0.8 or
+more, exact), a file of which one of the two is known.
+
+Scale: one Python pass over the texts gives a few numbers, a hash of the code and MinHash bands per file. Equal code
+counts once. Bands are matched against one variant per (band, owner) first, which settles the copies of a popular
+file at one comparison each; only files that no such variant explains are compared with all variants of their bands.
 """
 
 from __future__ import annotations
@@ -29,15 +33,27 @@ from arbora.session import Scratch
 
 @dataclass(frozen=True)
 class Layout:
-    """Thresholds for one language."""
+    """Limits of one language."""
 
     long_line: int = 160
+    #: Mean line length beyond which nobody broke the lines.
+    mean_line: float = 120.0
+    #: Mean line length and white-space share of squeezed code that a tool wrapped.
+    wrapped_line: float = 55.0
+    space_share: float = 0.11
+    #: Numeric literals in 100 characters.
+    number_density: float = 9.0
     numeric_share: float = 0.5
+    #: Encoded runs, and the alphanumeric share of a file made of them.
     encoded_run: int = 50
+    alnum_share: float = 0.8
     share: float = 0.5
 
 
-LAYOUTS = {"ml": Layout(), "mli": Layout(), "js": Layout(long_line=140), "": Layout()}
+#: Interfaces have longer lines than code, scripts shorter ones; an unknown language gets the widest limits.
+LAYOUTS = {"ml": Layout(), "mli": Layout(mean_line=150.0, long_line=200), "js": Layout(long_line=140, mean_line=110.0, space_share=0.09), "": Layout(mean_line=150.0, space_share=0.09)}
+#: Files of less code than this are judged by their lines alone.
+LEAST_CODE = 200
 
 _OPENING = re.compile(r"\(\*|/\*|(?<!:)//")
 _CLOSING = {"(*": "*)", "/*": "*/", "//": "\n"}
@@ -45,15 +61,23 @@ _STRING = re.compile(r'"(?:[^"\\\n]|\\.)*"')
 _NUMBER = re.compile(r"0x[0-9a-fA-F]+|\\x[0-9A-Fa-f]{2}|\\\d{3}|(?<![\w.])-?\d[\d_.]*(?!\w)")
 _DIRECTIVE = re.compile(r"#(?:line)? ?\d+ \"")
 _ROW = re.compile(r"[^\s,;]*(?:[,;\t][^\s,;]*){2,}")
-_MACHINE_NAME = re.compile(r"\b__\w+__\b|'tv_\w+|\b_v?\d+\b|_\d{3,}\b")
+#: Names that only programs give; constants such as __LOC__ and numbers such as 1_000 are none.
+_MACHINE_NAME = re.compile(r"\b__[a-z]\w*__\b|'tv_\w+|\b_v?\d+\b")
+#: A name with a long number; a machine's if the file has it with many numbers.
+_NUMBERED = re.compile(r"(?<![\w'])([A-Za-z_]\w*?)_(\d{3,})\b")
+FAMILY = 5
 _DIGIT = re.compile(r"\d")
 _RUN = re.compile(r"[A-Za-z0-9+/=_\\-]{40,}")
 _WORD = re.compile(r"\w+|[^\w\s]")
 _PROJECT = r"([A-Za-z][\w-]*(?:\.[A-Za-z][\w-]*)*)"
-#: Ownership notices in comments; the project is the first group that matched.
+_KIND = r"(?:distribution|project|library|package|module|team|developers|authors|contributors|maintainers|licen[cs]e)"
+#: What in a comment says whose a file is; a name counts if it is a package's.
 _NOTICE = re.compile(
-    rf"[Pp]art of the\s+{_PROJECT}\s+(?:distribution|project|library|package)|\$?Project:\s*{_PROJECT}|belongs to\s+{_PROJECT}|maintained by the\s+{_PROJECT}\s+(?:team|developers|project)"
-    rf"|Home of this file:\s*\w+://[^/\s]+/{_PROJECT}|\(\*\s*{_PROJECT}: one more|[Tt]erms: see the\s+{_PROJECT}\s+licen[cs]e|Copyright \([cC]\) the\s+{_PROJECT}\s+(?:developers|authors|team)")
+    rf"\b(?:part of|belongs? to|(?:maintained|developed|owned) by|(?:taken|copied|imported|vendored) from|copyright(?: \([cC]\))?(?: [\d, -]+)?|licen[cs]e:? as in|terms:? see)\s+(?:the\s+)?{_PROJECT}"
+    rf"|\b(?:project|package|library|upstream|origin|home(?: of this file)?)\s*:\s*(?:\w+://[^/\s]+/)?{_PROJECT}"
+    rf"|{_PROJECT}\s+{_KIND}\b", re.I)
+#: Folders of a package's own layout, whatever packages are called.
+OWN_FOLDERS = ["src", "lib", "bin", "test", "tests", "core", "base", "compat", "doc", "docs", "examples", "utils", "tools", "include", "_build", "default"]
 
 
 def clean(text: str) -> str:
@@ -86,13 +110,9 @@ def split_comments(text: str) -> tuple[str, list[str]]:
     return " ".join(code), comments
 
 
-def owner(text: str) -> str | None:
-    """The project that a notice in the comments names."""
-    for comment in split_comments(text)[1]:
-        m = _NOTICE.search(comment)
-        if m:
-            return next(g for g in m.groups() if g)
-    return None
+def named_projects(comments: list[str]) -> list[str]:
+    """Names that ownership notices in the comments give, each once."""
+    return list(dict.fromkeys(g for c in comments for m in _NOTICE.finditer(c) for g in m.groups() if g))
 
 
 def _set_aside(m: re.Match) -> str:
@@ -100,8 +120,10 @@ def _set_aside(m: re.Match) -> str:
     return '""' if len(s) > 40 and s.count(" ") >= len(s) / 12 else s
 
 
-def line_kind(line: str, layout: Layout) -> str:
-    """One of '', directive, numbers, data, machine, encoded, long; line has no outer white space."""
+def line_kind(line: str, layout: Layout, families: set[str] | frozenset = frozenset()) -> str:
+    """One of '', directive, numbers, data, machine, encoded, long; line has no outer white space.
+
+    families: the stems of numbered names that the file has with many numbers."""
     n = len(line)
     if line[:1] == "#" and _DIRECTIVE.match(line):
         return "directive"
@@ -109,7 +131,7 @@ def line_kind(line: str, layout: Layout) -> str:
         return "numbers"
     if n >= 8 and " " not in line and _ROW.fullmatch(line):
         return "data"
-    if "_" in line and _MACHINE_NAME.search(line):
+    if "_" in line and (_MACHINE_NAME.search(line) or families and any(m.group(1) in families for m in _NUMBERED.finditer(line))):
         return "machine"
     if n >= layout.encoded_run and max(map(len, line.split())) >= 30 and _encoded(layout.encoded_run).search(line):
         return "encoded"
@@ -121,33 +143,51 @@ def _encoded(run: int) -> re.Pattern:
     return re.compile(rf"[A-Za-z0-9+/=]{{{run},}}|(?:\\[A-Za-z0-9]+){{15,}}")
 
 
-def layout_of(text: str, source: str | None) -> dict[str, float]:
-    """Layout statistics of a file, and machine: the share of its characters on lines of a machine's layout."""
-    text, rules = clean(text), LAYOUTS[language(source)]
-    lines = [x for x in text.split("\n") if x.strip()]
-    size = max(len(text), 1)
-    code = _STRING.sub(_set_aside, split_comments(text)[0])
-    total = machine = 0
-    for line in code.split("\n"):
-        line = line.strip()
-        if line:
-            total += len(line)
-            if line_kind(line, rules):
-                machine += len(line)
+def numbered_families(code: str) -> set[str]:
+    """Stems that occur with FAMILY different long numbers or more."""
+    numbers: dict[str, set[str]] = {}
+    for m in _NUMBERED.finditer(code):
+        numbers.setdefault(m.group(1), set()).add(m.group(2))
+    return {stem for stem, seen in numbers.items() if len(seen) >= FAMILY}
+
+
+_ALNUM = bytes(x for x in range(256) if x >= 128 or chr(x).isalnum())
+_BLANK = b" \t\n\v\f"
+
+
+def layout_of(code: str, source: str | None) -> dict[str, float]:
+    """Statistics of the layout of code without comments, and machine: the share of its characters on lines of a machine's layout."""
+    rules = LAYOUTS[language(source)]
+    code = _STRING.sub(_set_aside, code)
+    lines = [x for line in code.split("\n") if (x := line.strip())]
+    raw = code.encode("utf-8", "replace")
+    size, total = max(len(raw), 1), sum(map(len, lines))
+    families = numbered_families(code)
+    machine = sum(len(x) for x in lines if line_kind(x, rules, families))
     return {
         "max_line": float(max(map(len, lines), default=0)),
-        "mean_line": size / max(len(lines), 1),
-        "space_share": 1 - sum(map(len, text.split())) / size,
-        "alnum_share": sum(map(len, re.findall(r"[^\W_]+", text))) / size,
-        "number_density": 100 * len(_NUMBER.findall(code)) / size,
-        "longest_run": float(max(map(len, _RUN.findall(text)), default=0)),
+        "mean_line": total / max(len(lines), 1),
+        "space_share": 1 - len(raw.translate(None, _BLANK)) / size,
+        "alnum_share": 1 - len(raw.translate(None, _ALNUM)) / size,
+        "number_density": 100 * len(_NUMBER.findall(code)) / max(total, 1),
+        "longest_run": float(max(map(len, _RUN.findall(code)), default=0)),
         "machine": machine / total if total else 0.0,
+        "code": float(total),
     }
 
 
-def shingles(text: str) -> np.ndarray:
-    """Hashes of the different five-word shingles of the code without comments."""
-    words = _WORD.findall(split_comments(clean(text))[0])
+def made_by_program(stats: dict[str, float], rules: Layout) -> bool:
+    """Whether a statistic of the code is beyond its limit, or most of it is on lines of a machine's layout."""
+    squeezed = stats["max_line"] > rules.long_line and stats["mean_line"] > rules.mean_line
+    wrapped = stats["mean_line"] > rules.wrapped_line and stats["space_share"] < rules.space_share
+    table = stats["number_density"] > rules.number_density
+    blob = stats["longest_run"] >= rules.encoded_run and stats["alnum_share"] > rules.alnum_share
+    return stats["machine"] > rules.share or stats["code"] >= LEAST_CODE and (squeezed or wrapped or table or blob)
+
+
+def shingles(code: str) -> np.ndarray:
+    """Hashes of the different five-word shingles of code without comments."""
+    words = _WORD.findall(code)
     if len(words) < 5:
         return np.empty(0, np.uint64)
     values = np.array([_stable(w) for w in words], dtype=np.uint64)
@@ -177,8 +217,8 @@ _MULT = (np.random.default_rng(5).integers(1, 2**62, size=_BANDS * _ROWS, dtype=
 
 
 def bands(values: np.ndarray) -> list[int]:
-    """Twenty MinHash bands of five rows; none for files too short to tell a copy from a coincidence."""
-    if len(values) < 30:
+    """Twenty MinHash bands of five rows."""
+    if not len(values):
         return []
     h = values[:, None] * _MULT[None, :]
     h ^= h >> np.uint64(31)
@@ -193,17 +233,26 @@ def bands(values: np.ndarray) -> list[int]:
 _STATS = ["max_line", "mean_line", "space_share", "alnum_share", "number_density", "longest_run", "machine"]
 
 
+def _profile_one(text: str, source: str | None) -> tuple:
+    """(statistics, made by a program, named projects, hash of the shingles, bands) of one file."""
+    code, comments = split_comments(clean(text))
+    stats = layout_of(code, source)
+    by_machine = made_by_program(stats, LAYOUTS[language(source)])
+    if by_machine:  # a case whoever owns it
+        return stats, True, [], None, []
+    values = shingles(code)
+    key = int(np.bitwise_xor.reduce(values * np.uint64(0x9E3779B97F4A7C15) ^ (values >> np.uint64(31)))) if len(values) else None
+    return stats, False, named_projects(comments), None if key is None else key - (1 << 63), bands(values)
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts, sources = b.column("text").to_pylist(), b.column("source").to_pylist()
-        stats = [layout_of(t, s) for t, s in zip(texts, sources)]
-        owners = [owner(clean(t)) for t in texts]
-        # machine-made files are cases whoever owns them
-        keys = [bands(shingles(t)) if s["machine"] <= LAYOUTS[language(src)].share else [] for t, s, src in zip(texts, stats, sources)]
+        sources = b.column("source").to_pylist()
+        rows = [_profile_one(t, s) for t, s in zip(b.column("text").to_pylist(), sources)]
         out = [b.column("id"), b.column("package"), pa.array(sources, pa.string())]
-        out += [pa.array([s[k] for s in stats], pa.float64()) for k in _STATS]
-        out += [pa.array([s["machine"] > LAYOUTS[language(src)].share for s, src in zip(stats, sources)], pa.bool_()), pa.array(owners, pa.string()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(out, ["id", "package", "source", *_STATS, "by_machine", "owner", "bands"])
+        out += [pa.array([r[0][k] for r in rows], pa.float64()) for k in _STATS]
+        out += [pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(out, ["id", "package", "source", *_STATS, "by_machine", "names", "code", "bands"])
 
 
 def _verify(threshold: float):
@@ -211,42 +260,83 @@ def _verify(threshold: float):
         for b in batches:
             keep = []
             for i, (x, y) in enumerate(zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist())):
-                sx, sy = shingles(x), shingles(y)
+                sx, sy = (shingles(split_comments(clean(t))[0]) for t in (x, y))
                 both = len(np.intersect1d(sx, sy, assume_unique=True))
                 if both >= threshold * (len(sx) + len(sy) - both):
                     keep.append(i)
             at = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("owner").take(at)], ["id", "owner"])
+            yield pa.RecordBatch.from_arrays([b.column("code").take(at), b.column("other").take(at)], ["code", "other"])
 
     return run
 
 
 def profile_files(units: DataFrame, id_col: str, key_col: str, source_col: str, text_col: str) -> DataFrame:
-    """Layout statistics, notice and bands per file; package is the key up to its first '.' (or ':').
+    """Layout statistics, named projects, hash of the code and bands per file; package is the key up to its first '.' (or ':').
 
     Files delivered twice are profiled twice and then dropped, as that costs less than shuffling all texts."""
     rows = units.select(
         F.col(id_col).cast("bigint").alias("id"), F.regexp_extract(F.coalesce(F.col(key_col), F.lit("")), r"^[^.:]*", 0).alias("package"),
         F.col(source_col).alias("source"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     stats = ", ".join(f"{k} double" for k in _STATS)
-    return rows.mapInArrow(_profile, f"id bigint, package string, source string, {stats}, by_machine boolean, owner string, bands array<bigint>").dropDuplicates(["id"])
+    return rows.mapInArrow(_profile, f"id bigint, package string, source string, {stats}, by_machine boolean, names array<string>, code bigint, bands array<bigint>").dropDuplicates(["id"])
+
+
+def owners(files: DataFrame) -> DataFrame:
+    """(id, owner) of the files whose notice or path says whose they are; several names count as the file's own package, or the smallest.
+
+    A notice goes before a path. Files that a path elsewhere names as a package's are that package's."""
+    own = files.where("array_contains(names, package)").select("id", F.col("package").alias("owner"))
+    foreign = files.where("not array_contains(names, package) and size(names) > 0").select("id", F.explode("names").alias("owner"))
+    packages = files.where("package <> ''").select(F.col("package").alias("owner")).distinct()
+    noted = own.union(foreign.join(packages, "owner").groupBy("id").agg(F.min("owner").alias("owner")))
+    parts = F.split("source", "/")
+    placed = files.where(F.size(parts) > 2).select("id", "package", F.element_at(parts, -1).alias("base"), F.explode(F.array_except(F.slice(parts, 2, F.size(parts) - 2), F.array(*map(F.lit, OWN_FOLDERS)))).alias("owner"))
+    has = files.where("package <> '' and source is not null").select(F.col("package").alias("owner"), F.element_at(parts, -1).alias("base"), "id")
+    named = placed.where("owner <> package").join(has.select("owner", "base").distinct(), ["owner", "base"])
+    by_path = named.groupBy("id").agg(F.min("owner").alias("owner"))
+    originals = has.join(named.select("owner", "base").distinct(), ["owner", "base"]).select("id", "owner")
+    ranked = noted.withColumn("rank", F.lit(0)).union(by_path.withColumn("rank", F.lit(1))).union(originals.withColumn("rank", F.lit(2)))
+    return ranked.groupBy("id").agg(F.min_by("owner", F.struct("rank", "owner")).alias("owner"))
+
+
+def _similar(pairs: DataFrame, units: DataFrame, scratch: Scratch, threshold: float, name: str) -> DataFrame:
+    """(code, other) of the given pairs (code, other, id, head) whose texts, of id and head, are similar."""
+    needed = pairs.select(F.explode(F.array("id", "head")).alias("id")).distinct()
+    texts = scratch.write(units.join(needed, "id", "left_semi").dropDuplicates(["id"]), f"texts-{name}")
+    sides = pairs.join(texts.withColumnRenamed("text", "text_a"), "id").join(texts.select(F.col("id").alias("head"), F.col("text").alias("text_b")), "head")
+    return scratch.write(sides.select("code", "other", "text_a", "text_b").mapInArrow(_verify(threshold), "code bigint, other bigint"), f"similar-{name}")
 
 
 def not_handwritten(units: DataFrame, id_col: str = "unit_id", key_col: str = "unit_key", source_col: str = "source", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """(id, reason) with reason 'machine' or 'copy', and the layout statistics, for files not written by hand for their package.
+    """(id, reason, owner) with reason 'machine' or 'copy', and the layout statistics, for files not written by hand for their package.
 
-    Defined results: a null id, a null or an empty text is no case; a null source means the default thresholds; a null key has an
-    empty package, so any notice makes a copy of it; a repeated id is one file; other columns are ignored."""
+    Defined results: a null id, a null or an empty text is no case; a null source means the default limits and no path; a null key has
+    an empty package, which owns nothing; a notice that names no package of the table says nothing; equal or similar code whose owner no
+    notice and no path tells is no case; a repeated id is one file; other columns are ignored."""
     scratch = Scratch(units.sparkSession, "handwritten")
     files = scratch.write(profile_files(units, id_col, key_col, source_col, text_col), "files")
-    noted = files.where("not by_machine and owner is not null").select("id", "owner", F.explode("bands").alias("band"))
-    heads = noted.groupBy("band", "owner").agg(F.min("id").alias("head"))
-    bare = files.where("not by_machine and owner is null").select("id", "package", F.explode("bands").alias("band"))
-    near = scratch.write(bare.join(heads, "band").where("package <> owner").select("id", "head", "owner").distinct(), "near")
-    texts = units.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    needed = near.select(F.explode(F.array("id", "head")).alias("id")).distinct()
-    texts = scratch.write(texts.join(needed, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    sides = near.join(texts.withColumnRenamed("text", "text_a"), "id").join(texts.select(F.col("id").alias("head"), F.col("text").alias("text_b")), "head")
-    copies = sides.select("id", "owner", "text_a", "text_b").mapInArrow(_verify(threshold), "id bigint, owner string").groupBy("id").agg(F.min("owner").alias("copied_from"))
+    hand = files.where("not by_machine")
+    owned = scratch.write(owners(hand), "owners")
+    told = scratch.write(hand.join(owned, "id").where("code is not null").groupBy("code", "owner").agg(F.min("id").alias("head"), F.first("bands").alias("bands")), "told")
+    bare = scratch.write(hand.join(owned, "id", "left_anti").where("code is not null").select("id", "package", "code", "bands"), "bare")
+    equal = bare.join(told.select("code", "owner"), "code").where("package <> owner").groupBy("id").agg(F.min("owner").alias("copied_from"))
+    equal = scratch.write(equal, "equal")
+
+    # one row per code and owner from here on
+    texts = units.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    variants = told.select(F.col("code").alias("other"), "owner", "head", F.explode("bands").alias("band"))
+    heads = variants.groupBy("band", "owner").agg(F.min(F.struct("other", "head")).alias("h")).select("band", "owner", "h.other", "h.head")
+    found, left, tried = equal, bare, None
+    for name, side in (("heads", heads), ("variants", variants)):
+        left = scratch.write(left.join(found, "id", "left_anti"), f"left-{name}")
+        codes = left.groupBy("code").agg(F.min("id").alias("id"), F.first("bands").alias("bands")).select("code", "id", F.explode("bands").alias("band"))
+        pairs = codes.join(side.select("band", "other", "head"), "band").where("code <> other").groupBy("code", "other", "id").agg(F.min("head").alias("head"))
+        if tried is not None:
+            pairs = pairs.join(tried, ["code", "other"], "left_anti")
+        pairs = scratch.write(pairs, f"pairs-{name}")
+        tried = pairs.select("code", "other")
+        similar = _similar(pairs, texts, scratch, threshold, name).join(told.select(F.col("code").alias("other"), "owner"), "other").select("code", "owner").distinct()
+        copies = left.join(similar, "code").where("package <> owner").groupBy("id").agg(F.min("owner").alias("copied_from"))
+        found = found.union(scratch.write(copies, f"copies-{name}"))
     reason = F.when(F.col("by_machine"), "machine").when(F.col("owner") != F.col("package"), "copy").when(F.col("copied_from").isNotNull(), "copy")
-    return files.join(copies, "id", "left").withColumn("reason", reason).where("reason is not null").select("id", "reason", F.coalesce("owner", "copied_from").alias("owner"), *_STATS)
+    return files.join(owned, "id", "left").join(found, "id", "left").withColumn("reason", reason).where("reason is not null").select("id", "reason", F.coalesce("owner", "copied_from").alias("owner"), *_STATS)

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from arbora.llm.handwritten import layout_of, line_kind, Layout, not_handwritten, owner, shingles, split_comments
+from arbora.llm.handwritten import LAYOUTS, Layout, layout_of, line_kind, made_by_program, named_projects, not_handwritten, numbered_families, shingles, split_comments
 from arbora.llm.leaks import Items, find_leaks, myers_within
 from arbora.llm.packing import choose_boundaries, count_tokens, fill_report, load_tokenizer, make_patterns, pack, token_sizes
 from arbora.llm.spam import find_spam, units
@@ -176,31 +176,70 @@ def test_line_kinds():
     assert {k: line_kind(k.strip(), Layout()) for k in kinds} == kinds
 
 
+def test_ordinary_names_are_no_machine_names():
+    for line in ("let timeout = 1_000_000", "raise (Failure __LOC__)", "| status_404 -> Not_found", "fail ~pos:__POS__"):
+        assert line_kind(line, Layout()) == ""
+    assert numbered_families("a_100 a_200 a_300 b_404 b_404") == set()
+    assert numbered_families(" ".join(f"state_{i:03}" for i in range(9))) == {"state"}
+    assert made_by_program(layout_of("let timeout = 1_000_000\n" * 40, "a.ml"), LAYOUTS["ml"]) is False
+
+
+def test_statistics_decide():
+    made = lambda code, source="a.ml": made_by_program(layout_of(code, source), LAYOUTS[source.rpartition(".")[2]])
+    squeezed = "let a=b(c)in " * 60
+    wrapped = "\n".join("var a=e[1],b=t[2];if(a===b)for(;a<b;a++)c(a);var d=f(g,h);" for _ in range(12))
+    assert made(squeezed) and made(wrapped) and made(wrapped, "a.js")
+    assert made("let t = [|\n" + "\n".join("  10; 20; 30; 40; f x; 50;" for _ in range(30)) + "\n|]")
+    assert made("let blob =\n" + "\n".join('  "' + "aGVsbG8gd29ybGQgaGVsbG8gd29ybGQgaGVsbG8gd29ybGQgaGVsbG8gd29ybGQg" + '" ^' for _ in range(9)))
+    assert not made(HAND) and not made("") and not made('let usage = "' + "words that people read " * 60 + '"\n' + HAND)
+    assert not made("let one_long_line = " + "f x " * 60 + "\n" + HAND) and not made("let days = [| 31; 28; 31; 30; 31; 30 |]\n" + HAND)
+
+
 def test_comments_and_notices():
     assert split_comments("a (* b *) c /* d */ e // f\ng (* open") == ("a   c   e  \ng (* open", ["(* b *)", "/* d */", "// f"])
-    assert owner("(** Part of the foo-bar distribution,\n report bugs *)") == "foo-bar"
-    assert owner("(* $Project: foo_ext $ *)") == "foo_ext" and owner("(* Home of this file: git://code.example/foo-lwt (mirror x) *)") == "foo-lwt"
-    assert owner("(* foo: one more small library. Terms: see the foo licence. *)") == "foo" and owner("let x = \"Part of the foo distribution\"") is None
+    names = lambda text: named_projects(split_comments(text)[1])
+    assert "foo-bar" in names("(** Part of the foo-bar distribution,\n report bugs *)") and "foo" not in names("let x = \"Part of the foo distribution\"")
+    assert "foo_ext" in names("(* $Project: foo_ext $ *)") and "foo-lwt" in names("(* Home of this file: git://code.example/foo-lwt (mirror x) *)")
+    assert "foo" in names("(* foo: a library. Terms: see the foo licence. *)") and "foo" in names("(* Copyright (c) 2009-2011 the foo developers *)") and names("(* foo is used here *)") == []
     for t in ("(* " * 50_000, "/*" * 50_000):
-        assert owner(t) is None and layout_of(t, None)["machine"] >= 0
+        assert names(t) == [] and layout_of(t, None)["machine"] >= 0
 
 
 def test_not_handwritten(spark):
     note = "(* This module belongs to {}. *)\n"
     table = "let t = [|\n" + "\n".join("  " + "; ".join(str(i * j % 97) for j in range(14)) + ";" for i in range(20)) + "\n|]\n"
     mini = "!function(e,t){" + "var a=e[1],b=t[2];if(a===b)for(;a<b;a++)c(a);" * 12 + "}"
+    other = HAND.replace("alpha", "zulu").replace("(", "( ").replace("then", "then begin")
     rows = [
-        (1, "own.1.0:A", "own/src/a.ml", note.format("own") + HAND), (2, "other.1:A", "other/lib/a.ml", note.format("own") + HAND), (3, "third.1:A", "third/vendor/own/a.ml", HAND + "let patched = 1\n"),
-        (4, "own.2.0:A", "own/src/a.ml", HAND), (5, "p.1:T", "p/t.ml", table), (6, "p.1:M", "p/m.min.js", mini), (7, "p.1:H", "p/vendor_invoices/h.ml", "(* Do not edit the generated table. *)\nlet days = [| 31; 28; 31; 30; 31; 30; 31; 31; 30; 31; 30; 31 |]\n" + HAND.replace("alpha", "zulu").replace("(", "( ").replace("then", "then begin")),
+        (1, "own.1.0:A", "own/src/a.ml", note.format("own") + HAND), (2, "other.1:A", "other/lib/a.ml", note.format("own") + HAND), (3, "third.1:A", "third/x/a.ml", HAND + "let patched = 1\n"),
+        (4, "own.2.0:A", "own/src/a.ml", HAND), (5, "p.1:T", "p/t.ml", table), (6, "p.1:M", "p/m.min.js", mini), (7, "p.1:H", "p/vendor_invoices/h.ml", "(* Do not edit the generated table. *)\nlet days = [| 31; 28; 31; 30; 31; 30; 31; 31; 30; 31; 30; 31 |]\n" + other),
         (8, "p.1:U", None, 'let usage = "' + "This is a long line of help for people who read it. " * 12 + '"\n' + HAND.replace("if", "while").replace("then", "do ignore")),
         (9, "p.1:N", "p/n.ml", None), (10, "p.1:E", "p/e.ml", ""), (None, "q.1:A", "q/a.ml", table), (5, "p.1:T", "p/t.ml", table), (11, None, None, "﻿" + table.replace("\n", "\r\n")),
+        # by path alone, and similar to a file known by its path alone; a folder that is no package, and the package's own folder, say nothing
+        (12, "p.1:A", "p/ext/lwt/poll.ml", other.replace("zulu", "yankee").replace("begin", "begin ()")), (13, "lwt.1:P", "lwt/src/poll.ml", "let poll x = x + 1\n"), (14, "q.1:B", "q/b.ml", other.replace("zulu", "yankee").replace("begin", "begin ()") + "let b = 2\n"),
+        (15, "p.1:C", "p/ext/nolwt/poll.ml", "let p q r s = q r s\n"), (16, "lwt.1:C", "lwt/ext/lwt/poll.ml", "let z = poll ()\n"), (17, "core.1:C", "core/src/u.ml", "let u a b = a b\n"), (18, "p.1:D", "p/src/core/u.ml", "let u c d = d c c\n"),
+        # short code equal to that of a file with a notice; the same notice names no package here; two files that nobody claims
+        (19, "own.1.0:S", "own/src/s.ml", note.format("own") + "let s t u = t (u t)\n"), (20, "q.1:S", "q/s.ml", "let s t u =   t (u t)\n"), (21, "q.1:Z", "q/z.ml", note.format("nobody") + "let z y x = y x y\n"),
+        (22, "q.1:V", "q/v.ml", "let v w x = w (x w) w\n"), (23, "p.1:V", "p/v.ml", "let v w x = w (x w) w\n"),
     ]
     df = spark.createDataFrame([(*r, "x") for r in rows], "unit_id bigint, unit_key string, source string, text string, owner string")
-    assert {r.id: r.reason for r in not_handwritten(df).collect()} == {2: "copy", 3: "copy", 5: "machine", 6: "machine", 11: "machine"}
+    got = {r.id: (r.reason, r.owner) for r in not_handwritten(df).collect()}
+    assert {i: r[0] for i, r in got.items()} == {2: "copy", 3: "copy", 5: "machine", 6: "machine", 11: "machine", 12: "copy", 14: "copy", 20: "copy"}
+    assert got[12][1] == got[14][1] == "lwt" and got[3][1] == "own"
     assert not_handwritten(df.limit(0)).count() == 0
     assert len(shingles("a b c")) == 0
 
 
+def test_copies_of_any_variant_are_found(spark):
+    # variants of a popular file, each with its notice, and files near to one variant only
+    words = [f"let v{i} = f{i} x{i}" for i in range(60)]
+    variant = lambda k: [w if i % 6 != k else w + f" y{k}" for i, w in enumerate(words)]
+    rows = [(100 + k, f"pkg{k}.1:A", f"pkg{k}/a.ml", "(* part of lwt *)\n" + "\n".join(variant(k))) for k in range(6)] + [(1, "lwt.1:A", "lwt/a.ml", "(* part of lwt *)\nlet lwt = 1")]
+    rows += [(200 + k, f"bare{k}.1:A", f"bare{k}/b.ml", "\n".join(variant(k)[:-2])) for k in range(6)]
+    df = spark.createDataFrame(rows, "unit_id bigint, unit_key string, source string, text string")
+    assert {r.id for r in not_handwritten(df).collect()} == {*range(100, 106), *range(200, 206)}
+
+
 # ---- packing --------------------------------------------------------------------------------------------------
 
 def padding(bounds, counts):
