@@ -65,6 +65,7 @@ _ROW = re.compile(r"[^\s,;]*(?:[,;\t][^\s,;]*){2,}")
 _MACHINE_NAME = re.compile(r"\b__[a-z]\w*__\b|'tv_\w+|\b_v?\d+\b")
 #: A name with a long number; a machine's if the file has it with many numbers.
 _NUMBERED = re.compile(r"(?<![\w'])([A-Za-z_]\w*?)_(\d{3,})\b")
+_LONG_NUMBER = re.compile(r"_\d{3}")
 FAMILY = 5
 _DIGIT = re.compile(r"\d")
 _RUN = re.compile(r"[A-Za-z0-9+/=_\\-]{40,}")
@@ -145,6 +146,8 @@ def _encoded(run: int) -> re.Pattern:
 
 def numbered_families(code: str) -> set[str]:
     """Stems that occur with FAMILY different long numbers or more."""
+    if not _LONG_NUMBER.search(code):
+        return set()
     numbers: dict[str, set[str]] = {}
     for m in _NUMBERED.finditer(code):
         numbers.setdefault(m.group(1), set()).add(m.group(2))
@@ -190,7 +193,7 @@ def shingles(code: str) -> np.ndarray:
     words = _WORD.findall(code)
     if len(words) < 5:
         return np.empty(0, np.uint64)
-    values = np.array([_stable(w) for w in words], dtype=np.uint64)
+    values = np.fromiter(map(_HASH.__getitem__, words), dtype=np.uint64, count=len(words))
     out = np.zeros(len(values) - 4, dtype=np.uint64)
     for j in range(5):
         out = out * np.uint64(0x9E3779B97F4A7C15) + values[j : len(values) - 4 + j]
@@ -198,18 +201,19 @@ def shingles(code: str) -> np.ndarray:
     return np.unique(out)
 
 
-_SEEN: dict[str, int] = {}
+class _Hashes(dict):
+    """Hash of every word met, forgotten before it grows large."""
 
-
-def _stable(word: str) -> int:
-    h = _SEEN.get(word)
-    if h is None:
+    def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(_SEEN) > 200_000:
-            _SEEN.clear()
-        h = _SEEN[word] = xxhash.xxh64_intdigest(word)
-    return h
+        if len(self) > 200_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_HASH = _Hashes()
 
 
 _BANDS, _ROWS = 20, 5
@@ -328,13 +332,15 @@ def not_handwritten(units: DataFrame, id_col: str = "unit_id", key_col: str = "u
     heads = variants.groupBy("band", "owner").agg(F.min(F.struct("other", "head")).alias("h")).select("band", "owner", "h.other", "h.head")
     found, left, tried = equal, bare, None
     for name, side in (("heads", heads), ("variants", variants)):
-        left = scratch.write(left.join(found, "id", "left_anti"), f"left-{name}")
+        left = left.join(found, "id", "left_anti")
         codes = left.groupBy("code").agg(F.min("id").alias("id"), F.first("bands").alias("bands")).select("code", "id", F.explode("bands").alias("band"))
         pairs = codes.join(side.select("band", "other", "head"), "band").where("code <> other").groupBy("code", "other", "id").agg(F.min("head").alias("head"))
         if tried is not None:
             pairs = pairs.join(tried, ["code", "other"], "left_anti")
         pairs = scratch.write(pairs, f"pairs-{name}")
         tried = pairs.select("code", "other")
+        if pairs.isEmpty():
+            continue
         similar = _similar(pairs, texts, scratch, threshold, name).join(told.select(F.col("code").alias("other"), "owner"), "other").select("code", "owner").distinct()
         copies = left.join(similar, "code").where("package <> owner").groupBy("id").agg(F.min("owner").alias("copied_from"))
         found = found.union(scratch.write(copies, f"copies-{name}"))
