@@ -35,16 +35,53 @@ def _merge(b: bytes) -> bytes:
     return b
 
 
+#: Letters of other scripts than Latin, which wrong decodings of Latin text don't give.
+OTHER = r"\u0370-\u1dff\u1f00-\u1fff\u2c00-\u2c5f\u2c80-\u2dff\u2e80-\u2fff\u3005-\u3007\u3040-\ua71f\ua800-\ufaff\ufb13-\ufdff\ufe70-\ufefe\uff66-\uffdc\U00010000-\U0001efff\U00020000-\U0003ffff"
+_OTHER = re.compile(f"[{OTHER}]")
+
+
+class _Letters(dict):
+    """For str.translate: a character's canonical letter, or nothing."""
+
+    def __missing__(self, code: int) -> str | None:
+        c = chr(code)
+        low = c.lower()
+        self[code] = _LETTERS.get(code) if code < 128 else low if c.isalpha() and _OTHER.match(c) and len(low) == 1 else None
+        return self[code]
+
+
+_ANY_LETTERS = _Letters()
+
+
 def plain(text: str) -> str:
-    return text.replace("\r", "").replace("﻿", "")
+    return text.replace("\r", "").replace("\ufeff", "")
 
 
-def spoken_letters(text: str) -> str:
-    """The spoken text as one run of canonical letters: no spaces, punctuation, times, markup or sounds.
+def raw_letters(text: str) -> str:
+    """Canonical letters without spaces, punctuation and digits, before pairs are merged.
 
-    Letters outside ASCII are left out on both sides of a comparison, so it doesn't matter how they were decoded."""
-    b = unmarked(_SEPARATORS.sub(" ", plain(text))).encode("ascii", "ignore")
-    return _merge(b.translate(_TO, _NOT_LETTERS)).decode("ascii")
+    Latin letters outside ASCII are left out on both sides of a comparison, so it doesn't matter how they were decoded;
+    letters of other scripts stay."""
+    if _OTHER.search(text):
+        return text.translate(_ANY_LETTERS)
+    return text.encode("ascii", "ignore").translate(_TO, _NOT_LETTERS).decode("ascii")
+
+
+def merged(letters: str) -> str:
+    """Pairs that are read for one letter become that letter, also across words; a pair that a quotation's end cuts costs an edit there."""
+    for a, to in MERGED:
+        letters = letters.replace(a.decode(), to.decode())
+    return letters
+
+
+def spoken(text: str) -> str:
+    """The text without numbering, times, markup and sounds."""
+    return unmarked(_SEPARATORS.sub(" ", plain(text)))
+
+
+def spoken_letters(text: str) -> str:
+    """The spoken text as one run of canonical letters: no spaces, punctuation, times, markup or sounds."""
+    return merged(raw_letters(spoken(text)))
 
 
 def cut(text: str) -> str:
