@@ -64,36 +64,52 @@ def token_sizes(docs: DataFrame, id_col: str, text_col: str, tokenizer: str = f"
     return rows.mapInArrow(run, "id bigint, tokens bigint").where("tokens > 0").dropDuplicates(["id"])
 
 
-def choose_boundaries(counts: dict[int, int], capacity: int, buckets: int) -> list[int]:
+def _next_layer(prev: np.ndarray, lengths: np.ndarray, n: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least padding of the first j lengths with one bucket more, and where that bucket starts, for every j.
+
+    The padding of a bucket satisfies the quadrangle inequality, so the best start grows with j: the middle j of a
+    range is solved first and bounds the starts of both halves. All ranges of one depth are solved together."""
+    m = len(lengths)
+    best, came = np.zeros(m + 1), np.zeros(m + 1, dtype=np.int64)
+    a, b, low, high = (np.array([x]) for x in (1, m, 0, m - 1))
+    while len(a):
+        mid = (a + b) // 2
+        count = np.minimum(high, mid - 1) - low + 1
+        at = np.cumsum(count) - count
+        end = np.repeat(mid, count)
+        start = np.arange(count.sum()) - np.repeat(at, count) + np.repeat(low, count)
+        value = prev[start] + lengths[end - 1] * (n[end] - n[start]) - (w[end] - w[start])
+        least = np.minimum.reduceat(value, at)
+        first = np.flatnonzero(value == np.repeat(least, count))
+        back = start[first[np.searchsorted(first, at)]]
+        best[mid], came[mid] = least, back
+        a, b, low, high = (np.concatenate(x) for x in ((a, mid + 1), (mid - 1, b), (low, back), (back, high)))
+        keep = a <= b
+        a, b, low, high = a[keep], b[keep], low[keep], high[keep]
+    return best, came
+
+
+def choose_boundaries(counts: dict[int, int], buckets: int) -> list[int]:
     """Ascending bucket boundaries, the last one the longest length, with the least total padding.
 
-    Exact over all boundaries up to a capacity of 2048; beyond, boundaries lie on a grid of 2048 steps."""
-    step = max(1, -(-capacity // 2048))
-    size = -(-capacity // step)
-    n, w = np.zeros(size + 1), np.zeros(size + 1)
-    for length, c in counts.items():
-        at = -(-length // step)
-        n[at] += c
-        w[at] += c * length
-    n, w = np.cumsum(n), np.cumsum(w)
-    ends = np.arange(size + 1)
-    cost = (ends[None, :] * step) * (n[None, :] - n[:, None]) - (w[None, :] - w[:, None])
-    cost[ends[:, None] > ends[None, :]] = np.inf
-    best, came = cost[0].copy(), []
-    for _ in range(min(buckets, size) - 1):
-        whole = best[:, None] + cost
-        back = whole.argmin(axis=0)
-        came.append(back)
-        best = whole[back, ends]
-    longest = -(-max(counts) // step)
-    out, at = [longest], longest
-    for back in reversed(came):
-        at = int(back[at])
+    Exact for any lengths: a best boundary is always a length that occurs. buckets * lengths * log(lengths) steps."""
+    lengths = np.array(sorted(counts), dtype=np.int64)
+    if buckets >= len(lengths):
+        return lengths.tolist()
+    per = np.array([counts[x] for x in lengths.tolist()], dtype=np.int64)
+    n, w = (np.concatenate([[0], np.cumsum(x)]).astype(np.float64) for x in (per, per * lengths))
+    best = np.concatenate([[0.0], lengths * n[1:] - w[1:]])
+    layers = []
+    for _ in range(buckets - 1):
+        best, came = _next_layer(best, lengths, n, w)
+        layers.append(came)
+    out, at = [int(lengths[-1])], len(lengths)
+    for came in reversed(layers):
+        at = int(came[at])
         if at <= 0:
             break
-        if at != out[-1]:
-            out.append(at)
-    return [min(x * step, capacity) for x in reversed(out)]
+        out.append(int(lengths[at - 1]))
+    return out[::-1]
 
 
 def _best_fill(sizes: list[int], left: list[int], room: int, start: int) -> dict[int, int]:
@@ -153,11 +169,11 @@ def pack(sizes: DataFrame, capacity: int = 2048, buckets: int = 256, mix: bool =
     spark = sizes.sparkSession
     scratch = Scratch(spark, "packing")
     parts = sizes.where("tokens > 0").select("id", "tokens", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("tokens") - 1) / capacity))).alias("part"))
-    parts = scratch.write(parts.select("id", "part", (F.col("part") * capacity).alias("first_token"), F.least(F.lit(capacity), F.col("tokens") - F.col("part") * capacity).alias("tokens")), "parts")
+    parts = scratch.write(parts.select("id", "part", (F.col("part") * capacity).alias("first_token"), F.least(F.lit(capacity), F.col("tokens") - F.col("part") * capacity).cast("bigint").alias("tokens")), "parts")
     counts = {r[0]: r[1] for r in parts.groupBy("tokens").count().collect()}  # at most `capacity` rows
     if not counts:
         return parts.select(F.lit(0).cast("bigint").alias("container"), "id", "part", "first_token", "tokens").where("false")
-    bounds = choose_boundaries(counts, capacity, buckets)
+    bounds = choose_boundaries(counts, buckets)
     per_bucket = [0] * len(bounds)
     for length, c in counts.items():
         per_bucket[int(np.searchsorted(bounds, length))] += c
@@ -168,9 +184,9 @@ def pack(sizes: DataFrame, capacity: int = 2048, buckets: int = 256, mix: bool =
             used[b] += c * times
         containers += times
     places = F.broadcast(spark.createDataFrame(runs, "bucket int, start bigint, stop bigint, each bigint, base bigint"))
-    edges = F.array(*[F.lit(x) for x in bounds])
-    bucket = F.size(F.filter(edges, lambda e: e < F.col("tokens")))
-    ranked = number_within_keys(parts.withColumn("bucket", bucket), ["bucket"], ["id", "part"], scratch)
+    buckets_of = [(length, int(np.searchsorted(bounds, length))) for length in counts]
+    of = F.broadcast(spark.createDataFrame(buckets_of, "tokens bigint, bucket int"))  # at most `capacity` rows
+    ranked = number_within_keys(parts.join(of, "tokens").select(*parts.columns, "bucket"), ["bucket"], ["id", "part"], scratch)
     on = (ranked["bucket"] == places["bucket"]) & (ranked["ordinal"] >= places["start"]) & (ranked["ordinal"] < places["stop"])
     return ranked.join(places, on).select((F.col("base") + F.floor((F.col("ordinal") - F.col("start")) / F.col("each"))).alias("container"), "id", "part", "first_token", "tokens")
 

@@ -56,9 +56,15 @@ def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
     return pack(token_sizes(table(spark, sf, "documents"), "doc_id", "text"), 2048).withColumnRenamed("id", "doc_id")
 
 
+def p6_bucket_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with batches inside one bucket only, by the method as it is named."""
+    return pack(token_sizes(table(spark, sf, "documents"), "doc_id", "text"), 2048, 128, mix=False).withColumnRenamed("id", "doc_id")
+
+
 def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
-    """How full the containers are."""
-    return fill_report(p6_containers(spark, sf))
+    """How full the containers are, by way of batching."""
+    mixed, single = fill_report(p6_containers(spark, sf)), fill_report(p6_bucket_containers(spark, sf))
+    return mixed.select(F.lit("mixed").alias("batches"), "*").union(single.select(F.lit("one bucket").alias("batches"), "*"))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,7 +78,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return find_spam(table(spark, sf, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {"p6_containers": p6_containers, "p6_fill": p6_fill, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p1_found": p1_found, "p2_found": p2_found, "p2_links": p2_links, "p2_clusters": p2_clusters, "p5_found": p5_found}
+QUERIES = {"p6_containers": p6_containers, "p6_bucket_containers": p6_bucket_containers, "p6_fill": p6_fill, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p1_found": p1_found, "p2_found": p2_found, "p2_links": p2_links, "p2_clusters": p2_clusters, "p5_found": p5_found}
 
 SQL = {
     "p1_found": """

@@ -273,11 +273,18 @@ def test_boundaries_are_optimal():
     for _ in range(40):
         counts = {n: rng.randint(1, 9) for n in rng.sample(range(1, 15), rng.randint(1, 7))}
         k = rng.randint(1, 5)
-        got = choose_boundaries(counts, 16, k)
+        got = choose_boundaries(counts, k)
         top = max(counts)
         best = min(padding((*c, top), counts) for r in range(k) for c in itertools.combinations(range(1, top), r))
         assert len(got) <= k and got[-1] == top and padding(got, counts) == best
-    assert choose_boundaries({5000: 2, 10: 1}, 8192, 4)[-1] >= 5000
+    assert choose_boundaries({5000: 2, 10: 1}, 4) == [10, 5000]
+    many = {n: rng.randint(1, 50) for n in rng.sample(range(1, 20_000), 3000)}
+    cut = choose_boundaries(many, 40)
+    # no boundary can be moved to a neighbouring length for less padding
+    lengths = sorted(many)
+    for i, b in enumerate(cut[:-1]):
+        for other in lengths[max(0, lengths.index(b) - 1) : lengths.index(b) + 2]:
+            assert padding(sorted({*cut[:i], other, *cut[i + 1 :]}), many) >= padding(cut, many)
 
 
 @pytest.mark.parametrize("mix", [True, False])
