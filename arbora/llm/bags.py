@@ -1,7 +1,8 @@
 """Bags of sub-trees as sets of 64-bit elements, shared by the operators on near-duplicates.
 
-A sub-tree becomes a token of 15 bits of weight above 48 bits of the hash of its digest, so that sorting tokens
-downwards puts the heaviest, rarest sub-trees first. A token's n-th copy in a bag becomes an element of its own,
+A sub-tree becomes a token of 8 bits of its weight's logarithm above 55 bits of the hash of its digest, so that sorting
+tokens downwards puts the heaviest, rarest sub-trees first; a digest is taken to have one weight, as it is a hash of the
+whole sub-tree. A token's n-th copy in a bag becomes an element of its own,
 which makes multiset Jaccard of bags the plain Jaccard of their element sets. Rows with the same bag are one bag
 from here on: its id is the smallest id of a row that has it.
 """
@@ -17,14 +18,16 @@ from pyspark.sql import functions as F
 
 from arbora.functions.scalars import clean_digest
 
-_MASK = (1 << 48) - 1
+_MASK = (1 << 55) - 1
 
 
 def tokens(subs: str | Column) -> Column:
     """Descending tokens of an array of struct<weight, digest>; entries without digest are left out."""
     c = F.col(subs) if isinstance(subs, str) else subs
     kept = F.filter(c, lambda s: s["digest"].isNotNull())
-    token = lambda s: F.shiftleft(F.least(F.greatest(F.coalesce(s["weight"], F.lit(0)).cast("bigint"), F.lit(0)), F.lit(32767)), 48).bitwiseOR(F.xxhash64(clean_digest(s["digest"])).bitwiseAND(F.lit(_MASK)))
+    # 12 steps per doubling, up to a weight of two millions
+    step = lambda w: F.least(F.floor(12 * F.log2(1 + F.greatest(F.coalesce(w, F.lit(0)), F.lit(0)))), F.lit(255)).cast("bigint")
+    token = lambda s: F.shiftleft(step(s["weight"]), 55).bitwiseOR(F.xxhash64(clean_digest(s["digest"])).bitwiseAND(F.lit(_MASK)))
     return F.sort_array(F.transform(kept, token), asc=False)
 
 

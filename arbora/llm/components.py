@@ -28,14 +28,17 @@ def _fresh(c, const: int):
 def connected_components(edges: DataFrame, src: str = "x", dst: str = "y", seed: int = 17) -> DataFrame:
     """(node, component) for every node with a link to another node; component is the smallest node of its group.
 
+    Nodes of type bigint stay numbers, all others are taken as strings.
+
     Defined results: rows with a null end and self-pairs are no links; repeated pairs, either order, count once; an
-    empty table gives an empty table; other columns are ignored, whatever their names. Nodes compare in byte order.
+    empty table gives an empty table; other columns are ignored, whatever their names. Strings compare in byte order.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "components")
     rng = random.Random(seed)
+    kind = "bigint" if all(edges.schema[c].dataType.simpleString() == "bigint" for c in (src, dst)) else "string"
     pairs = scratch.write(
-        edges.select(F.col(src).cast("string").alias("s"), F.col(dst).cast("string").alias("d"))
+        edges.select(F.col(src).cast(kind).alias("s"), F.col(dst).cast(kind).alias("d"))
         .where(F.col("s").isNotNull() & F.col("d").isNotNull() & (F.col("s") != F.col("d")))
         .select(F.least("s", "d").alias("s"), F.greatest("s", "d").alias("d"))
         .distinct(),

@@ -9,7 +9,7 @@ from arbora.llm.components import connected_components
 from arbora.llm.handwritten import not_handwritten
 from arbora.llm.incremental import History, best_links, cluster_updates, link_batch
 from arbora.llm.leaks import find_leaks
-from arbora.llm.neardup import near_duplicates
+from arbora.llm.neardup import near_duplicate_classes, near_duplicates
 from arbora.llm.packing import fill_report, pack, token_sizes
 from arbora.llm.spam import find_spam
 from arbora.sources.tables import table
@@ -51,6 +51,12 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("fp_id_a"), F.col("id_b").alias("fp_id_b"))
 
 
+def p5_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of `fingerprints` with near-duplicates: their class and their number of links, one row per record."""
+    found = near_duplicate_classes(table(spark, sf, "fingerprints"), "fp_id", "subs", 0.7)
+    return found.select(F.col("id").alias("fp_id"), "class", F.col("links").cast("bigint").alias("links"))
+
+
 def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's place in containers of 2,048 tokens."""
     return pack(token_sizes(table(spark, sf, "documents"), "doc_id", "text"), 2048).withColumnRenamed("id", "doc_id")
@@ -78,7 +84,13 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return find_spam(table(spark, sf, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {"p6_containers": p6_containers, "p6_bucket_containers": p6_bucket_containers, "p6_fill": p6_fill, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p1_found": p1_found, "p2_found": p2_found, "p2_links": p2_links, "p2_clusters": p2_clusters, "p5_found": p5_found}
+QUERIES = {"p6_containers": p6_containers, "p6_bucket_containers": p6_bucket_containers, "p6_fill": p6_fill, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p1_found": p1_found, "p2_found": p2_found, "p2_links": p2_links, "p2_clusters": p2_clusters, "p5_found": p5_found, "p5_classes": p5_classes}
+
+_SIMILAR = """r AS (SELECT fp_id, any_value(subs) AS subs FROM fingerprints GROUP BY fp_id),
+        t AS (SELECT fp_id, lower(trim(s.digest, e' \t\n\r')) AS d, count(*) AS n FROM (SELECT fp_id, unnest(subs) AS s FROM r) WHERE s.digest IS NOT NULL GROUP BY 1, 2),
+        w AS (SELECT fp_id, sum(n) AS total FROM t GROUP BY fp_id),
+        c AS (SELECT a.fp_id AS fp_id_a, b.fp_id AS fp_id_b, sum(least(a.n, b.n)) AS shared FROM t a JOIN t b ON a.d = b.d AND a.fp_id < b.fp_id GROUP BY 1, 2),
+        pairs AS (SELECT fp_id_a, fp_id_b FROM c JOIN w x ON x.fp_id = fp_id_a JOIN w y ON y.fp_id = fp_id_b WHERE shared / (x.total + y.total - shared) >= 0.7)"""
 
 SQL = {
     "p1_found": """
@@ -104,10 +116,8 @@ SQL = {
         r(seq, accepted) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
             SELECT f.seq, CASE WHEN f.is_old OR list_has_any(r.accepted, f.before) THEN r.accepted ELSE list_append(r.accepted, f.hash_id) END FROM r JOIN f ON f.seq = r.seq + 1)
         SELECT hash_id FROM h WHERE NOT list_contains((SELECT accepted FROM r ORDER BY seq DESC LIMIT 1), hash_id)""",
-    "p5_found": """
-        WITH r AS (SELECT fp_id, any_value(subs) AS subs FROM fingerprints GROUP BY fp_id),
-        t AS (SELECT fp_id, lower(trim(s.digest, e' \t\n\r')) AS d, count(*) AS n FROM (SELECT fp_id, unnest(subs) AS s FROM r) WHERE s.digest IS NOT NULL GROUP BY 1, 2),
-        w AS (SELECT fp_id, sum(n) AS total FROM t GROUP BY fp_id),
-        c AS (SELECT a.fp_id AS fp_id_a, b.fp_id AS fp_id_b, sum(least(a.n, b.n)) AS shared FROM t a JOIN t b ON a.d = b.d AND a.fp_id < b.fp_id GROUP BY 1, 2)
-        SELECT fp_id_a, fp_id_b FROM c JOIN w x ON x.fp_id = fp_id_a JOIN w y ON y.fp_id = fp_id_b WHERE shared / (x.total + y.total - shared) >= 0.7""",
+    "p5_found": f"WITH {_SIMILAR} SELECT * FROM pairs",
+    "p5_classes": f"""WITH RECURSIVE {_SIMILAR}, both_ways AS (SELECT fp_id_a AS x, fp_id_b AS y FROM pairs UNION SELECT fp_id_b, fp_id_a FROM pairs),
+        reach(node, other) AS (SELECT x, x FROM both_ways UNION SELECT r.node, b.y FROM reach r JOIN both_ways b ON r.other = b.x)
+        SELECT node AS fp_id, min(other) AS class, CAST((SELECT count(*) FROM both_ways WHERE x = node) AS BIGINT) AS links FROM reach GROUP BY node""",
 }

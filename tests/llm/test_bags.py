@@ -8,7 +8,7 @@ import pytest
 from arbora.llm import neardup
 from arbora.llm.bags import distinct_bags, jaccard, keyed, tokens
 from arbora.llm.incremental import History, absorb, best_links, cluster_updates, learn_weights, link_batch
-from arbora.llm.neardup import near_duplicates
+from arbora.llm.neardup import near_duplicate_classes, near_duplicates
 
 SUBS = "array<struct<weight:bigint,digest:string>>"
 
@@ -79,16 +79,60 @@ def test_multiset_elements(spark):
 
 def test_depth_shortens_until_recall(spark, monkeypatch):
     used = []
-    real = neardup._prefixes
-    monkeypatch.setattr(neardup, "_prefixes", lambda depth, trees, seed: used.append(depth) or real(depth, trees, seed))
-    bag = [(9, f"{i:032x}") for i in range(40)]
-    near = spark.createDataFrame([(1, bag), (2, bag[:39] + [(9, "e" * 32)])], f"id bigint, subs {SUBS}")
-    near_duplicates(near, "id", "subs").count()
-    assert used == [7]
+    real = neardup._runs
+    monkeypatch.setattr(neardup, "_runs", lambda depth, cap: used.append(depth) or real(depth, cap))
+    rng = random.Random(2)
+    base = [[(9, f"{rng.getrandbits(64):032x}") for _ in range(40)] for _ in range(60)]
+    run = lambda rows, **f: {(r.id_a, r.id_b) for r in near_duplicates(spark.createDataFrame(rows, f"id bigint, subs {SUBS}"), "id", "subs", **f).collect()}
+    alike = [(2 * i, b) for i, b in enumerate(base)] + [(2 * i + 1, b[:-1]) for i, b in enumerate(base)]
+    assert run(alike, recall=0.9) == {(2 * i, 2 * i + 1) for i in range(60)} and used == [7]
     used.clear()
-    far = spark.createDataFrame([(1, bag), (2, bag[:33] + [(9, "e" * 32)] * 7)], f"id bigint, subs {SUBS}")
-    near_duplicates(far, "id", "subs", depth=12).count()
-    assert used and used == list(range(12, 12 - len(used), -1))
+    edited = [(2 * i, b) for i, b in enumerate(base)] + [(2 * i + 1, b[:33] + [(9, f"{5 * i + j:032x}") for j in range(5)]) for i, b in enumerate(base)]
+    assert run(edited) == {(2 * i, 2 * i + 1) for i in range(60)}
+    assert len(used) > 1 and used == list(range(7, 7 - len(used), -1))
+
+
+def test_classes_count_links_without_pairs(spark):
+    rng = random.Random(6)
+    rows = [(i, dirty(rng, b)) for i, b in enumerate(family(rng, 120))]
+    rows += [(500 + i, rows[7][1]) for i in range(40)] + [(900, None), (901, [])]
+    df = spark.createDataFrame(rows, f"id bigint, subs {SUBS}")
+    pairs = pairs_by_brute_force(rows, 0.7)
+    links, root = Counter(x for p in pairs for x in p), {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    assert {(r.id, r["class"], r.links) for r in near_duplicate_classes(df, "id", "subs").collect()} == {(x, find(x), n) for x, n in links.items()}
+    assert near_duplicate_classes(df.limit(0), "id", "subs").count() == 0
+
+
+def test_runs_across_borders_and_batches():
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    keys = sorted(rng.choice([0, 1, 2, 255, 256, 70_000]) + (rng.randint(0, 2) << 56) for _ in range(120))
+    parts = [0] * 50 + [1] * 30 + [2] * 40
+    for depth, cap in ((7, 64), (6, 64), (5, 4), (4, 1)):
+        shift = 8 * (7 - depth)
+        for width in (7, 33, 200):
+            batches = [pa.RecordBatch.from_pydict({"key": pa.array(keys[i : i + width], pa.int64()), "bag": pa.array(list(range(i, min(120, i + width))), pa.int64()), "part": pa.array(parts[i : i + width], pa.int32())}) for i in range(0, 120, width)]
+            met, alone = set(), {}
+            for b in neardup._runs(depth, cap)(iter(batches)):
+                for k, x, y in zip(*(b.column(c).to_pylist() for c in ("key", "a", "b"))):
+                    if y is None:
+                        alone.setdefault(k, []).append(x)
+                    else:
+                        met.add((x, y))
+            assert all(len(v) == len(set(v)) for v in alone.values())
+            within = {(x, y) for v in alone.values() for x in v for y in v if x < y}
+            want = {(x, y) for x in range(120) for y in range(x + 1, 120) if keys[x] >> shift == keys[y] >> shift and (depth == 7 or keys[x] >> (shift - 8) != keys[y] >> (shift - 8))}
+            assert want <= met | within and met <= want
 
 
 def decide(history, batch, t=0.7):
