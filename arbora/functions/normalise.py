@@ -3,6 +3,9 @@
 Parity rules that look odd are kept by default, each behind a flag: an integer switch's default branch is entered
 by neither pass; assignment targets and handler variables keep their names; mutable variables and lets become
 plain ones (and so may be inlined). `strict_fix` enters the default branch and renames assignment targets.
+
+Names in a text may shadow each other, so binders get names of their own before anything is moved; names that are not
+renamed to numbers in the end get their old text back.
 """
 
 from __future__ import annotations
@@ -50,8 +53,85 @@ def substitute(root: Node, name: str, body: Node, strict_fix: bool = False, keep
     return fold(root, one)
 
 
+def _scoped(node: Node, role: str) -> bool:
+    """Whether a child of this role lies in the scope of the node's binders."""
+    return role == "body" or node.kind == "Lletrec"
+
+
+def _names_read(root: Node) -> tuple[list[str], set[str]]:
+    """All names that binders give, in order, and the names that are read outside the scope of a binder of that name."""
+    given: list[str] = []
+    free: set[str] = set()
+    stack: list[tuple[Node, frozenset]] = [(root, frozenset())]
+    while stack:
+        n, bound = stack.pop()
+        if n.kind in ("Lvar", "Lmutvar", "Lassign", "Lifused") and n.text not in bound:
+            free.add(n.text)
+        caught = n.text.split() if n.kind == "Lstaticcatch" else []
+        given += [*n.binders, *caught]
+        inner = bound | set(n.binders) if n.binders else bound
+        for i, (k, r) in reversed(list(enumerate(zip(n.kids, n.roles)))):
+            stack.append((k, bound | set(caught) if caught and i == 1 else inner if n.binders and _scoped(n, r) else bound))
+    return given, free
+
+
+def unique_names(root: Node) -> tuple[Node, dict[str, str]]:
+    """The tree with a name of its own for every binder that shares one with another binder or a free name, and new name to old."""
+    given, free = _names_read(root)
+    if len(set(given)) == len(given) and free.isdisjoint(given):
+        return root, {}
+    taken, known, old = set(free), {*given, *free}, {}
+
+    def fresh(name: str) -> str:
+        new, k = name, 0
+        while new in taken or k and new in known:
+            k += 1
+            new = f"{name}~{k}"
+        taken.add(new)
+        if new != name:
+            old[new] = name
+        return new
+
+    done: list[Node] = []
+    stack: list[tuple] = [("in", root, {})]
+    while stack:
+        step, node, env = stack.pop()
+        if step == "out":
+            n = len(node.kids)
+            kids = done[len(done) - n :] if n else []
+            if n:
+                del done[len(done) - n :]
+            done.append(node.with_kids(kids))
+            continue
+        binders, text, inner, caught = node.binders, node.text, env, env
+        if node.kind in ("Lvar", "Lmutvar", "Lassign", "Lifused"):
+            text = env.get(text, text)
+        if binders:
+            binders = [fresh(b) for b in binders]
+            inner = {**env, **dict(zip(node.binders, binders))}
+        if node.kind == "Lstaticcatch" and text:
+            names = {x: fresh(x) for x in text.split()}
+            text, caught = " ".join(names.values()), {**env, **names}
+        stack.append(("out", Node(node.kind, text, node.kids, node.roles, binders), None))
+        for i, (k, r) in reversed(list(enumerate(zip(node.kids, node.roles)))):
+            stack.append(("in", k, caught if node.kind == "Lstaticcatch" and i == 1 else inner if _scoped(node, r) else env))
+    return done[0], old
+
+
+def _old_names(root: Node, old: dict[str, str]) -> Node:
+    """The tree with the names that unique_names replaced and nothing renamed since."""
+    if not old:
+        return root
+    back = lambda text: " ".join(old.get(x, x) for x in text.split(" ")) if "~" in text else text
+    return fold(root, lambda n, kids: Node(n.kind, back(n.text) if n.kind in ("Lvar", "Lmutvar", "Lassign", "Lifused", "Lstaticcatch") else n.text, kids, n.roles, [old.get(b, b) for b in n.binders]))
+
+
 def inline_all(root: Node, strict_fix: bool = False, keep_mutable: bool = False) -> Node:
-    """Inline outer lets first; a definition is judged before it is processed itself."""
+    """Inline outer lets first; a definition is judged before it is processed itself. Binders that share a name keep apart by new ones."""
+    return _inline(unique_names(root)[0], strict_fix, keep_mutable)
+
+
+def _inline(root: Node, strict_fix: bool, keep_mutable: bool) -> Node:
     done: list[Node] = []
     stack: list[tuple[str, Node, int]] = [("in", root, 0)]
     while stack:
@@ -126,5 +206,6 @@ def rename_locals(root: Node, self_name: str | None = None, strict_fix: bool = F
 def normalise(root: Node, self_name: str | None = None, passes: int = 1, strict_fix: bool = False, keep_mutable: bool = False) -> Node:
     """Inline and rename; two passes reproduce tools that normalise an already normalised tree again."""
     for _ in range(passes):
-        root = rename_locals(inline_all(root, strict_fix, keep_mutable), self_name, strict_fix)
+        root, old = unique_names(root)
+        root = _old_names(rename_locals(_inline(root, strict_fix, keep_mutable), self_name, strict_fix), old)
     return root

@@ -18,16 +18,11 @@ def class_counts(rows: DataFrame, least: int = 2) -> DataFrame:
 def exact_classes(rows: DataFrame, label: str = "label", least: int = 2) -> DataFrame:
     """(weight, digest, label, n): the members of every class with at least `least` rows, copies kept (A1, A2).
 
-    A class stays rows, whatever its size; class_lists packs classes known to be small into arrays."""
+    A class stays rows, whatever its size; class_chunks packs them into arrays of bounded length."""
     counts = Scratch(rows.sparkSession, "classes").write(class_counts(rows, least), "counts")
     return rows.select("weight", "digest", F.col(label).alias("label")).join(counts, ["weight", "digest"])
 
 
-def class_lists(members: DataFrame, most: int = 10_000) -> DataFrame:
-    """(weight, digest, labels sorted) of the classes of up to `most` members; larger ones stay in exact_classes' rows."""
-    return members.where(F.col("n") <= most).groupBy("weight", "digest").agg(F.sort_array(F.collect_list("label")).alias("labels"))
-
-
 def class_chunks(members: DataFrame, chunk_rows: int = 10_000) -> DataFrame:
     """(weight, digest, chunk, labels sorted) of every class, chunk_rows members a chunk but the last; chunks follow in label order."""
     numbered = number_within_keys(members.select("weight", "digest", "label"), ["weight", "digest"], ["label"])
@@ -52,7 +47,9 @@ def read_database(spark: SparkSession, path: str | None) -> DataFrame:
     if path is None:
         return spark.createDataFrame([], "weight bigint, digest string, label string")
     df = spark.read.parquet(path)
-    if "kind" not in df.columns or df.select("kind").distinct().where(F.col("kind") != KIND_CLASSES).count():
+    # a data set is written with one kind, so its first row tells it without a scan
+    first = df.select("kind").first() if "kind" in df.columns else ("",)
+    if first is not None and first[0] != KIND_CLASSES:
         raise ValueError(f"{path} is no database of classes")
     return df.select("weight", "digest", "label")
 
@@ -75,9 +72,10 @@ def clone_report(own: DataFrame, database: DataFrame, keys: list[str], label: st
 
     Equal to counting clone_matches, but no pair is ever formed: a fingerprint's labels are counted per label and cut
     to the first limit + 1 different ones before they meet own rows, so own and database rows of one hot fingerprint
-    cost one row each. Rows of own without any other label don't come out; limit <= 0 lists no names."""
+    cost one row each. The database is cut to the fingerprints of own first: only those are grouped and written. Rows of own without any other label don't come out; limit <= 0 lists no names."""
+    met = own.select("weight", "digest").where("weight is not null and digest is not null").distinct()
     per_label = Scratch(own.sparkSession, "report").write(
-        database.where("weight is not null and digest is not null and label is not null").groupBy("weight", "digest", F.col("label").alias("other")).agg(F.count(F.lit(1)).alias("k")), "labels")
+        database.where("label is not null").join(met, ["weight", "digest"], "left_semi").groupBy("weight", "digest", F.col("label").alias("other")).agg(F.count(F.lit(1)).alias("k")), "labels")
     total = per_label.groupBy("weight", "digest").agg(F.sum("k").alias("all"))
     mine = own.join(total, ["weight", "digest"]).join(per_label.withColumnRenamed("other", label).withColumnRenamed("k", "same"), ["weight", "digest", label], "left")
     found = mine.withColumn("n_matches", (F.col("all") - F.coalesce("same", F.lit(0))).cast("bigint")).where(F.col("n_matches") > 0)
@@ -91,6 +89,15 @@ def clone_report(own: DataFrame, database: DataFrame, keys: list[str], label: st
     return found.join(heads, ["weight", "digest"]).select(*keys, "n_matches", names.alias("names"))
 
 
+def name_lists(own: DataFrame, database: DataFrame, chunk_rows: int = 1000) -> DataFrame:
+    """(weight, digest, chunk, names): the database's labels of every fingerprint of own, sorted, chunk_rows a chunk but the last.
+
+    The lists stand once per fingerprint, however many definitions have it; a definition's machine record is its place and
+    the names of its fingerprint's chunks but its own."""
+    met = own.select("weight", "digest").where("weight is not null and digest is not null").distinct()
+    return class_chunks(database.where("label is not null").join(met, ["weight", "digest"], "left_semi"), chunk_rows).withColumnRenamed("labels", "names")
+
+
 def machine_record(start: Column, end: Column, names: Column) -> Column:
     """`start;end;` and all names as a bulleted list, ended by `#`; no limit applies (K5)."""
     return F.concat(F.format_string("%d;%d;* ", start, end), F.array_join(names, "\n* "), F.lit("#"))

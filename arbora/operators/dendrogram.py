@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbora.model import KIND_FOREST
+from arbora.operators.skew import number_within_keys
 from arbora.session import Scratch
 
 
@@ -78,10 +79,12 @@ def cut(merges: DataFrame, leaves: DataFrame, height: int) -> DataFrame:
 def ordered_forest(sizes: DataFrame, alone: DataFrame) -> DataFrame:
     """(place, root, tree_size): trees with neighbours by size downwards (ties by root), then the alone ones by name downwards.
 
-    alone is (leaf, n_labels). A total order, for reports; it is sorted, not collected."""
-    a = sizes.select("root", "tree_size", F.lit(0).alias("_g"), F.col("tree_size").alias("_s"), F.lit(None).cast("string").alias("_n"))
-    b = alone.select(F.col("leaf").alias("root"), F.col("n_labels").cast("bigint").alias("tree_size"), F.lit(1).alias("_g"), F.lit(0).cast("bigint").alias("_s"), F.col("leaf").alias("_n"))
-    return a.union(b).orderBy("_g", F.desc("_s"), F.desc("_n"), "root").select("root", "tree_size")
+    alone is (leaf, n_labels). Places count from 0 and are found by offsets of ranges, so no task holds the forest."""
+    trees = number_within_keys(sizes.select("root", "tree_size", (-F.col("tree_size")).alias("_s"), F.lit(0).alias("_k")), ["_k"], ["_s", "root"])
+    last = sizes.count() + alone.count() - 1
+    names = number_within_keys(alone.select(F.col("leaf").alias("root"), F.col("n_labels").cast("bigint").alias("tree_size"), F.lit(0).alias("_k")), ["_k"], ["root"])
+    both = trees.select(F.col("ordinal").alias("place"), "root", "tree_size").union(names.select((F.lit(last) - F.col("ordinal")).alias("place"), "root", "tree_size"))
+    return both.select(F.col("place").cast("bigint").alias("place"), "root", "tree_size")
 
 
 def write_forest(merges: DataFrame, labelled: DataFrame, path: str) -> None:
@@ -94,7 +97,8 @@ def read_forest(spark, path: str) -> tuple[DataFrame, DataFrame]:
     out = []
     for name in ("merges", "leaves"):
         df = spark.read.parquet(f"{path}/{name}")
-        if "kind" not in df.columns or not df.where(F.col("kind") != KIND_FOREST).isEmpty():
+        first = df.select("kind").first() if "kind" in df.columns else ("",)
+        if first is not None and first[0] != KIND_FOREST:
             raise ValueError(f"{path} is no forest")
         out.append(df.drop("kind"))
     return out[0], out[1]

@@ -2,8 +2,9 @@
 
 Small components go through a sequential kernel, one component per group; larger ones through rounds of reciprocal
 nearest neighbours on the edge table, which need no task to hold a component. Both use the same order (distance,
-smaller name, larger name), where a tree's name is its smallest leaf, so ties are decided and the two agree wherever
-distances differ. A missing edge is infinite: trees are merged only where every pair of leaves has a distance.
+smaller name, larger name), where a tree's name is its smallest leaf. No two pairs are equal in it, and a merged pair's
+new edge never comes before both edges it replaces (the larger distance is kept, and the name is that of one half), so
+reciprocal nearest neighbours stay so until they are merged: both ways give the same merges, with ties too. A missing edge is infinite: trees are merged only where every pair of leaves has a distance.
 
 Merges are rows (component, node_id, left_id, right_id, height, n_leaves); a leaf's id is its name, an inner node's
 id is '<smallest leaf>+<number of leaves>'.

@@ -213,14 +213,6 @@ def inline_lets(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprint.normalised_text(trees(spark, sf).where("ir is not null").select("tree_id", "ir"), "ir", "normal").select("tree_id", "normal")
 
 
-@query("""SELECT l_orderkey AS orderkey, l_linenumber AS line, CAST(dense_rank() OVER (PARTITION BY l_orderkey ORDER BY f) AS BIGINT) AS name FROM
-    (SELECT *, min(l_linenumber) OVER (PARTITION BY l_orderkey, l_suppkey) AS f FROM lineitem)""")
-def alpha_renamed_sequences(spark: SparkSession, sf: str) -> DataFrame:
-    """N5 for flat sequences: names by first occurrence."""
-    first = table(spark, sf, "lineitem").withColumn("f", F.min("l_linenumber").over(Window.partitionBy("l_orderkey", "l_suppkey")))
-    return first.select(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("line"), F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy("f")).cast("bigint").alias("name"))
-
-
 @query()
 def html_dom_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     """Texts with markup, parsed as HTML and hashed."""
@@ -259,11 +251,12 @@ def exact_classes(spark: SparkSession, sf: str) -> DataFrame:
     return classes.exact_classes(fingerprints(spark, sf).where("digest is not null and label is not null"))
 
 
-@query(f"WITH {_FP} SELECT weight, digest, string_agg(label, '|' ORDER BY label) AS labels FROM fp WHERE digest IS NOT NULL AND label IS NOT NULL GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 10000")
+@query(f"""WITH {_FP}, r AS (SELECT weight, digest, label, count(*) OVER (PARTITION BY weight, digest) AS n, (row_number() OVER (PARTITION BY weight, digest ORDER BY label) - 1) // 10000 AS chunk FROM fp WHERE digest IS NOT NULL AND label IS NOT NULL)
+    SELECT weight, digest, chunk, string_agg(label, '|' ORDER BY label) AS labels FROM r WHERE n > 1 GROUP BY 1, 2, 3""")
 def class_label_lists(spark: SparkSession, sf: str) -> DataFrame:
-    """A1, A2: classes as lists; one of more than 10,000 members is several rows, in label order."""
+    """A1, A2: classes as lists, of more than 10,000 members in chunks of label order."""
     rows = classes.exact_classes(fingerprints(spark, sf).where("digest is not null and label is not null"))
-    return classes.class_chunks(rows).select("weight", "digest", F.array_join("labels", "|").alias("labels"))
+    return classes.class_chunks(rows).select("weight", "digest", "chunk", F.array_join("labels", "|").alias("labels"))
 
 
 @query(f"""WITH {_FP}, f AS (SELECT weight, digest, min(fp_id) AS fp_id FROM fp WHERE digest IS NOT NULL AND subs IS NOT NULL GROUP BY 1, 2)
@@ -416,45 +409,6 @@ def small_tree_filter(spark: SparkSession, sf: str) -> DataFrame:
     return distance.small_tree_filter(fingerprints(spark, sf), 90).select("fp_id", "weight")
 
 
-@query()
-def dendrogram_merges(spark: SparkSession, sf: str) -> DataFrame:
-    """Complete linkage of the finite edges."""
-    return linkage.complete_linkage(_pairs(spark, sf))
-
-
-@query()
-def dendrogram_merges_by_rounds(spark: SparkSession, sf: str) -> DataFrame:
-    """C5 without a kernel: rounds of reciprocal nearest neighbours."""
-    e = Scratch(spark, "pairs").write(_pairs(spark, sf), "pairs")
-    comp = graph.components(e).withColumnRenamed("node", "x")
-    return linkage.linkage_rounds(e.join(comp, "x").select("component", "x", "y", "dist"))
-
-
-@query()
-def dendrogram_clusters_at_height(spark: SparkSession, sf: str) -> DataFrame:
-    """Clusters of merges up to height 30."""
-    e = Scratch(spark, "pairs").write(_pairs(spark, sf), "pairs")
-    merges = Scratch(spark, "merges").write(linkage.complete_linkage(e), "merges")
-    return dendrogram.cut(merges, graph.adjacency(e).select(F.col("node").alias("leaf")).distinct(), 30)
-
-
-@query()
-def dendrogram_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    """Sizes of all trees of the forest."""
-    e = Scratch(spark, "pairs").write(_pairs(spark, sf), "pairs")
-    merges = Scratch(spark, "merges").write(linkage.complete_linkage(e), "merges")
-    leaves = graph.adjacency(e).select(F.col("node").alias("leaf"), F.lit(1).alias("n_labels")).distinct()
-    return dendrogram.forest_sizes(merges, leaves)
-
-
-@query()
-def cluster_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
-    """Fingerprints to dendrograms; the roots with their sizes."""
-    c = cluster(_heavy_bags(spark, sf).where("digest is not null and label is not null"), order="fp_id")
-    n = c.leaves.groupBy("leaf").agg(F.count("label").alias("n_labels"))
-    return dendrogram.forest_sizes(c.merges, n)
-
-
 # ---- partition and parsing (P, S, F1, F2, J6) ------------------------------------------------------------------
 
 @query("""WITH b AS (SELECT l_orderkey, arg_max(l_linestatus, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS sig, arg_min(CASE WHEN l_quantity > 45 THEN 'none' ELSE 'tree' END, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS ir, bool_or(l_discount > 0.01) AS plain FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
@@ -628,7 +582,7 @@ def exclude_keywords(spark: SparkSession, sf: str) -> DataFrame:
 def entry_c_corpus_report(spark: SparkSession, sf: str) -> DataFrame:
     """Entry C: trees hashed, clustered and reported."""
     labelled = dump_labels(trees(spark, sf).where("ir is not null"))
-    hashed = fingerprint.fingerprint_trees(labelled.select("label", "ir"), "ir", STRICT, hard(HEAVY)).where("error is null")
+    hashed = fingerprint.fingerprint_trees(labelled.select("label", "ir"), "ir", STRICT, hard(HEAVY), passes=1).where("error is null")
     return corpus_report(hashed, more_than=1)
 
 
@@ -646,3 +600,7 @@ def entry_a_partition(spark: SparkSession, sf: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return exact_classes(spark, sf)
+
+
+# queries kept in modules of their own register themselves
+from arbora.plans import linkage_queries, tree_queries  # noqa: E402, F401

@@ -20,7 +20,8 @@ def upsert_stream(trees: DataFrame, database: str, reports: str, checkpoint: str
     """Every batch is appended to the database and its clones, within it and before it, are reported.
 
     A batch writes under its own number and overwrites itself when replayed, so both outputs are exactly-once;
-    history is read by an equi join on the batch's fingerprints and never rewritten."""
+    history is cut to the batch's fingerprints by a semi join (a broadcast one while the batch is small) as it is scanned,
+    and never shuffled whole or rewritten."""
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession

@@ -111,6 +111,19 @@ def test_two_passes_differ_where_a_definition_becomes_trivial():  # Q18
     assert once.startswith("(Llet strict") and not twice.startswith("(Llet")
 
 
+@pytest.mark.parametrize("text, normal", [
+    ('(Llet strict "x" (Lvar "a") (Llet strict "x" (Lconst) (Lvar "x")))', "(Lconst)"),
+    ('(Llet alias "x" (Lvar "y") (Lfunction ["x"] (Lvar "x")))', '(Lfunction ["1"] (Lvar "1"))'),
+    ('(Llet alias "x" (Lvar "y") (Lfunction ["y"] (Lapply (Lvar "x") (Lvar "y"))))', '(Lfunction ["1"] (Lapply (Lvar "y") (Lvar "1")))'),
+    ('(Llet alias "x" (Lvar "y") (Ltrywith (Lvar "x") "y" (Lapply (Lvar "x") (Lvar "y"))))', '(Ltrywith (Lvar "y") "1" (Lapply (Lvar "y") (Lvar "1")))'),
+    ('(Lfunction ["v"] (Lstaticcatch (Lvar "v") ["v"] (Lvar "v")))', '(Lfunction ["1"] (Lstaticcatch (Lvar "1") ["v"] (Lvar "v")))'),
+    ('(Lfunction ["a"] (Lfunction ["a"] (Lswitch (Lvar "a") consts[] blocks[] default=(Lassign "a" (Lvar "a")))))', '(Lfunction ["1"] (Lfunction ["2"] (Lswitch (Lvar "2") consts[] blocks[] default=(Lassign "a" (Lvar "a")))))'),
+    ('(Lletrec [("f" (Llet alias "f" (Lvar "g") (Lvar "f")))] (Lvar "f"))', '(Lletrec [("-1" (Lvar "g"))] (Lvar "-1"))'),
+])
+def test_names_that_shadow_each_other(text, normal):
+    assert print_tree(normalise(parse_tree(text))) == normal
+
+
 def test_substitution_replaces_every_occurrence():
     t = substitute(parse_tree('(Lapply (Lvar "x") (Lassign "x" (Lvar "x")))'), "x", parse_tree("(Lconst)"))
     assert print_tree(t) == '(Lapply (Lconst) (Lassign "x" (Lconst)))'
