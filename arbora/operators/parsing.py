@@ -97,7 +97,10 @@ def find_artifacts(files: DataFrame, artifacts: DataFrame, file: str = "file", e
     cand = files.select(file, F.explode(F.array_distinct(F.array(low, F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, 2, 1 << 30))))).alias("cand"))
     base = path_base(F.col("path"))
     suffixes = artifacts.withColumn("_b", base).where(F.endswith("_b", F.lit(ending)))
-    suffixes = suffixes.withColumn("cand", F.explode(F.transform(F.sequence(F.lit(1), F.length("_b")), lambda i: F.substr(F.col("_b"), i)))).drop("_b")
+    # the different lengths of file names: a few hundred at most, whatever the number of files
+    lengths = sorted(r[0] for r in cand.select(F.length("cand")).distinct().collect())
+    fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("_b"))
+    suffixes = suffixes.withColumn("_k", F.explode(fitting)).withColumn("cand", F.right("_b", F.col("_k"))).drop("_b", "_k")
     hits = cand.join(suffixes, "cand")
     best = hits.groupBy(file).agg(F.max_by("path", F.struct(F.col("dir_ord"), -F.col("ord"))).alias("path"))
     return best, files.join(best.select(file), file, "left_anti")

@@ -603,4 +603,4 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # queries kept in modules of their own register themselves
-from arbora.plans import linkage_queries, tree_queries  # noqa: E402, F401
+from arbora.plans import linkage_queries, scalar_queries, tree_queries  # noqa: E402, F401

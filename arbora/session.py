@@ -27,10 +27,14 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "arbor
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or in a local session one of our own where it is unset.
+
+    A cluster without the setting is refused, as its executors couldn't read each other's tables."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="arbora-")
     spark.sparkContext.setCheckpointDir(own)
     spark.conf.set("spark.checkpoint.dir", own)
