@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.subtitles import LINK, LISTING, canonical, cut, unmarked
+from arbora.llm.subtitles import CUE, LINK, LISTING, canonical, cut, unmarked
 from arbora.session import Scratch
 
 _LINK = re.compile(r"(?:https?://|www\.)[^\s\0]+|<a\s[^>\0]*>|\]\([^)\0]*\)|[^\s\0]+ ?\[dot\] ?[^\s\0]+|[\w-]+\.(?:com|org|net|info|biz|example|test|invalid)\b[^\s\0]*|#\w+", re.I)
@@ -37,18 +37,27 @@ LOW = -1.35
 LOUD, EVIDENCE = 6, 8
 
 
+#: A cue without a word, a link or a separator: sounds, music, punctuation.
+SILENT = "\3"
+
+
 def canonical_cues(text: str) -> str:
-    """The cues with a word, a link or a separator, one a line, in canonical words."""
-    text = unmarked(cut(text))
+    """The cues with a word, a link or a separator, one a line, in canonical words; then a line SILENT for every other cue."""
+    pieces = cut(text)
+    all_cues = sum(1 for x in pieces.split(CUE) if x and not x.isspace())
+    text = unmarked(pieces)
     if any(sign in text for sign in _SIGNS) or _HOST.search(text):
         text = _LINK.sub(f" {LINK} ", text)
-    return "\n".join(x for line in canonical(text).split("\n") if (x := " ".join(line.split())))
+    lines = [x for line in canonical(text).split("\n") if (x := " ".join(line.split()))]
+    return "\n".join(lines + [SILENT] * (all_cues - len(lines)))
 
 
 def units_of(cues: str) -> list[tuple[list[str], int, int]]:
     """(words, links, list separators) of every canonical cue with a word or a link."""
     out = []
     for line in cues.split("\n"):
+        if line == SILENT:
+            continue
         links, listed = line.count(LINK), line.count(LISTING)
         if links or listed:
             line = line.replace(LINK, " ").replace(LISTING, " ")
@@ -72,7 +81,7 @@ def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         cues = [canonical_cues(t) for t in b.column("text").to_pylist()]
-        keys = [xxhash.xxh3_128_digest(c.encode("ascii")) for c in cues]
+        keys = [xxhash.xxh3_128_digest(c.encode()) for c in cues]
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(keys, pa.binary()), pa.array(cues, pa.string())], ["id", "key", "cues"])
 
 
@@ -101,7 +110,7 @@ def _count(flush: int):
 
 
 def spam_cues(cues: str, pmi: dict[str, tuple[float, bool]], common: set[str], known: set[str]) -> tuple[int, int]:
-    """(spam cues, all cues). cues: canonical. pmi: of known pairs, with whether few texts have the pair; other pairs are rare.
+    """(spam cues, all cues, silent ones included). cues: canonical. pmi: of known pairs, with whether few texts have the pair; other pairs are rare.
 
     known: words that enough texts have for a missing pair of them to say something."""
     found = units_of(cues)
@@ -148,14 +157,14 @@ def spam_cues(cues: str, pmi: dict[str, tuple[float, bool]], common: set[str], k
             if 2 * len(judged) >= len(pairs) and sum(value[0] if (value := pmi.get(p)) else FLOOR for p in judged) < LOW * len(judged):
                 weak += 1
                 evidence.update(judged)
-    return spam + (weak if len(evidence) >= EVIDENCE else 0), len(found)
+    return spam + (weak if len(evidence) >= EVIDENCE else 0), len(found) + cues.count(SILENT)
 
 
 def find_spam(docs: DataFrame, id_col: str, text_col: str, share: float = 0.5, support: float = 2e-4, function_share: float = 0.03, rare_share: float = 0.01, flush: int = 400_000) -> DataFrame:
     """(id, spam_share) of the documents where more than `share` of the cues are spam.
 
     Defined results: a null id, a null or an empty text is no spam; a repeated id is one document; copies of a text count once and are
-    judged alike; a document without words and links is no spam; other columns are ignored."""
+    judged alike; cues of sounds alone count as cues; a document without words and links is no spam; other columns are ignored."""
     scratch = Scratch(docs.sparkSession, "spam")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     kind = texts.schema["id"].dataType.simpleString()

@@ -102,12 +102,31 @@ def unmarked(text: str) -> str:
 
 #: For canonical(): cues stay apart by line breaks; LINK and LISTING keep their places.
 LINK, LISTING = "\1", "\2"
+#: Signs that separate the items of a list, besides | / ; , and >.
+BULLETS = "\u2022\u2023\u25aa\u25ab\u25b8\u25ba\u25cf\u25cb\u25e6\u2605\u2606\u3001\uff0c\uff1b\uff5c"
 _TO_WORDS = bytes({0: 10, 1: 1, **dict.fromkeys(map(ord, "|/;,>"), 2)}.get(x, ord(_LETTERS.get(x, " "))) for x in range(256))
+_BULLETS = re.compile(f"[{BULLETS}]")
+
+
+class _Words(dict):
+    """For str.translate: as _TO_WORDS, with the letters of other scripts."""
+
+    def __missing__(self, code: int) -> str | None:
+        c = chr(code)
+        self[code] = (None if c in "'?" else chr(_TO_WORDS[code])) if code < 128 else _ANY_LETTERS[code] or (" " if c.isspace() else None)
+        return self[code]
+
+
+_ANY_WORDS = _Words()
 
 
 def canonical(text: str) -> str:
     """Canonical words, one line per cue; apostrophes and question marks (which stand for lost letters) vanish."""
     if _DIGIT.search(text):
         text = _NUMBERS.sub(" ", text)
+    if not text.isascii():
+        text = _BULLETS.sub(";", text)
+        if _OTHER.search(text):
+            return merged(text.translate(_ANY_WORDS))
     b = text.encode("ascii", "ignore")
     return _merge(b.translate(_TO_WORDS, b"'?")).decode("ascii")

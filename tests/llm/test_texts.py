@@ -184,6 +184,16 @@ def test_spam_without_lists(spark):
     assert {r.id for r in find_spam(df, "doc_id", "text").collect()} == set(spam)
 
 
+def test_sounds_are_cues_and_other_scripts_have_words(spark):
+    rng = random.Random(3)
+    docs = [(i, subtitle([talk(rng) for _ in range(20)])) for i in range(200)]
+    pool = ["купить", "дешёво", "обувь", "онлайн"]
+    spam = {1001: [" • ".join(f"{rng.choice(pool)} {rng.choice(pool)}" for _ in range(5)) for _ in range(12)], 1002: ["http://a.example/x"] * 7 + ["[door creaks]", "♪ ♪"] * 2}
+    fine = {2001: ["Get more at http://a.example/x"] + ["[door creaks]", "(sighs)", "♪ ♪"] * 5, 2002: ["Привет, как дела сегодня?", "Хорошо, спасибо, а у тебя?", "Пойдём завтра к морю."]}
+    df = spark.createDataFrame(docs + [(k, subtitle(v)) for k, v in {**spam, **fine}.items()], "doc_id bigint, text string")
+    assert {r.id for r in find_spam(df, "doc_id", "text").collect()} == set(spam)
+
+
 def test_units_of_long_text():
     assert len(units("word " * 300_000)) == 1 and units("[x]") == [] and units("#a #b")[0][1] == 2
 
