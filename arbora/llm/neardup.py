@@ -145,6 +145,8 @@ def estimated_recall(found: DataFrame, threshold: float, depth: int, trees: int)
     p = 1 - F.pow(1 - F.pow(F.col("sim"), depth), trees)
     n, stands_for = found.agg(F.count("a"), F.coalesce(F.sum(1 / p), F.lit(0.0))).first()
     hidden = math.floor(math.log(20) / -(trees * math.log1p(-(threshold**depth))))
+    if not n and not hidden:  # what the least likely pair would have been met with
+        return 1 - (1 - threshold**depth) ** trees
     return n / (stands_for + hidden)
 
 
