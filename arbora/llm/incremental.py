@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.functions.scalars import clean_digest
-from arbora.llm.bags import blocks, common_elements, distinct_bags, keyed, members, verified
+from arbora.llm.bags import blocks, common_elements, distinct_bags, keyed, members, tokens, verified
 from arbora.llm.components import connected_components
 from arbora.llm.stored import BucketedTable
 from arbora.session import Scratch
@@ -207,11 +207,13 @@ class History:
         path = path or f"{Scratch(spark, 'stored').root}/history"
         empty = {"batch": -1, "threshold": threshold, "sources": [source], "order": 0, "order_bags": 0, "bags": 0, "buckets": buckets}
         self = cls(spark, path, empty)
-        rows = coded(df, id_col, 0)
-        kept = keyed(rows, "code", "subs")
+        rows = coded(df, id_col, 0).where("code is not null").select(F.col("code").alias("id"), "weight", clean_digest("digest").alias("digest"), tokens("subs").alias("tokens"))
+        full = F.size("tokens") > 0
+        rows = rows.withColumn("k1", F.when(full, F.xxhash64("tokens"))).withColumn("k2", F.when(full, F.xxhash64(F.lit(7), F.col("tokens"))))
+        rows = self.scratch.write(rows, "rows")  # the bags are hashed once and read twice
+        kept = rows.where("k1 is not null")
         bags = self.scratch.write(distinct_bags(kept), "bags")
-        records = rows.select(F.col("code").alias("id"), "weight", clean_digest("digest").alias("digest")).where("id is not null")
-        nodes = _nodes(records.join(members(kept, bags), "id", "left"))
+        nodes = _nodes(rows.join(bags.select("bag", "k1", "k2"), ["k1", "k2"], "left"))
         nodes = self.scratch.write(nodes, "nodes") if clusters else nodes
         parents = None
         if clusters:
