@@ -37,15 +37,16 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return _linked(spark, sf).decided.where("found_in is not null").select(F.col("id").alias("hash_id"))
 
 
-def p2_by_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """The same, batch by batch: each opens the stored history, is decided, and is absorbed."""
+def p2_by_batches(spark: SparkSession, sf: str, together: int = 4) -> DataFrame:
+    """The same by deliveries of `together` batches: each opens the stored history, is decided, and is absorbed."""
     path, found = _history(spark, sf).path, None
     batches = _batches(spark, sf)
     numbers = sorted(r[0] for r in batches.select("batch_no").where("batch_no is not null").distinct().collect())
-    for number in numbers:
-        linked = link_batch(History.load(spark, path), batches.where(F.col("batch_no") == number), "hash_id", ["hash_id"], "main_hash_list")
+    for delivery, first in enumerate(range(0, len(numbers), together), 1):
+        part = batches.where(F.col("batch_no").isin(numbers[first : first + together]))
+        linked = link_batch(History.load(spark, path), part, "hash_id", ["batch_no", "hash_id"], "main_hash_list")
         cases = linked.history.scratch.write(linked.decided.where("found_in is not null").select(F.col("id").alias("hash_id")), "cases")
-        absorb(linked, number + 1)
+        absorb(linked, delivery)
         found = cases if found is None else found.union(cases)
     return found if found is not None else batches.select("hash_id").where("false")
 
