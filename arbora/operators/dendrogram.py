@@ -24,10 +24,11 @@ def roots_of(merges: DataFrame, leaves: DataFrame, leaf: str = "leaf") -> DataFr
     k = 0
     while True:
         k += 1
-        twice = scratch.write(up.alias("a").join(up.alias("b"), F.col("a.parent") == F.col("b.child"), "left").select(F.col("a.child").alias("child"), F.coalesce("b.parent", "a.parent").alias("parent")), f"up-{k}")
-        same = twice.join(up, ["child", "parent"], "left_anti").isEmpty()
-        up = twice
-        if same:
+        higher = F.coalesce("b.parent", "a.parent")
+        twice = up.alias("a").join(up.alias("b"), F.col("a.parent") == F.col("b.child"), "left").select(F.col("a.child").alias("child"), higher.alias("parent"), (higher != F.col("a.parent")).alias("moved"))
+        twice = scratch.write(twice, f"up-{k}")
+        up = twice.select("child", "parent")
+        if twice.where("moved").isEmpty():
             break
     return leaves.select(F.col(leaf).alias("child")).distinct().join(up, "child", "left").select(F.col("child").alias("leaf"), F.coalesce("parent", "child").alias("root"))
 

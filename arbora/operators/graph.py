@@ -58,6 +58,11 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], schema.field("u").type), pa.array([p[1] for p in pairs], schema.field("v").type)], ["u", "v"])
 
 
+def _summary(links: DataFrame) -> tuple:
+    """Number and hash of the links; equal for equal sets."""
+    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
 def components(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """(node, component) of every node with an edge to another; component is its smallest node.
 
@@ -67,22 +72,23 @@ def components(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     kind = links.schema["u"].dataType.simpleString()
     links = links.mapInArrow(_local_stars, f"u {kind}, v {kind}").distinct()
     links, k = scratch.write(links, "links"), 0
+    before = _summary(links)
     while True:
         k += 1
         # large star: the larger neighbours of every node link to the smallest of its neighbourhood
         both = adjacency(links, "u", "v")
-        least = scratch.write(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("m")), f"least-{k}")
+        least = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("m"))
         large = both.join(least, "node").where("other > node").select(F.col("other").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.write(large, f"large-{k}")
         # small star: the smaller neighbours and the node itself link to the smallest of them
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = scratch.write(down, f"down-{k}")
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).distinct()
         small = scratch.write(small, f"small-{k}")
-        # a forest of stars that neither step changes is the result
-        settled = small.count() == links.count() and small.join(links, ["u", "v"], "left_anti").isEmpty()
-        old, links = links, small
-        for t in (old, least, large, down):
+        # a forest of stars that neither step changes is the result; the summaries spare the comparison of the rest
+        after = _summary(small)
+        settled = after == before and small.join(links, ["u", "v"], "left_anti").isEmpty()
+        old, links, before = links, small, after
+        for t in (old, large):
             scratch.drop(t)
         if settled:
             break
