@@ -137,6 +137,11 @@ class History:
         """(node, parent): the union-find; a node without a row is its own root, and no row is ever changed."""
         return self._forest.upto(self.batch)
 
+    def close(self) -> None:
+        """Forget the tables in the session's catalogue once nothing reads them any more (a lasting catalogue would keep them); what is stored stays."""
+        for t in (self._keys, self._bags, self._forest, self._rare, self._hot):
+            t.close()
+
     def number(self, source: str) -> int:
         """The number of a source of records; a new one is added (and stored with the next batch)."""
         if source not in self.sources:

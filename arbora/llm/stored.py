@@ -32,6 +32,10 @@ class BucketedTable:
         laid.write.mode("append").insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
+    def close(self) -> None:
+        """Take the table out of the session's catalogue; the folder stays."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def upto(self, batch: int) -> DataFrame:
         """The rows of the batches up to a number."""
         return self.spark.table(self.name).where(F.col("batch") <= batch).drop("batch")

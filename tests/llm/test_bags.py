@@ -257,6 +257,9 @@ def test_history_that_starts_empty_gets_an_order(spark, tmp_path):
         absorb(linked, number)
     h = History.load(spark, path)
     assert h.state["order"] >= 2 and len(h.common) == 1 and h.bags.count() == 90 and h.rare.count() + h.hot.count() == h.bags.count() * 4
+    h.close()
+    h = History.load(spark, path)
+    assert h.bags.count() == 90
     with pytest.raises(Exception, match="ids must be"):
         link_batch(h, spark.createDataFrame([(-1, 1, "a", shared)], schema), "id", ["id"])
 
