@@ -76,7 +76,7 @@ def _heavy_bags(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_ENTRIES} SELECT weight, digest FROM e WHERE digest IS NOT NULL GROUP BY weight, digest HAVING count(*) * 50 >= (SELECT count(*) FROM e)")
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Keys (weight, digest) that hold at least 2 % of the distinct records of clone_db."""
-    return skew.heavy_keys(entries(spark, sf).select("entry_id", "weight", "digest"), ["weight", "digest"], ["entry_id"]).select("weight", "digest")
+    return skew.heavy_keys(entries(spark, sf).select("entry_id", "weight", "digest"), ["weight", "digest"], ["entry_id"], chunk_rows=10_000).select("weight", "digest")
 
 
 @query(f"""WITH {_ENTRIES}, g AS (SELECT *, built_at - lag(built_at) OVER (PARTITION BY weight, digest ORDER BY built_at, entry_id) > INTERVAL 1 HOUR AS broke FROM e WHERE digest IS NOT NULL AND built_at IS NOT NULL)
