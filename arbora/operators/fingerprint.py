@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbora.functions.hashing import hash_tree
+from arbora.functions.hashing import hash_tree, text_hasher
 from arbora.functions.irtree import TreeError, parse_tree, print_tree
 from arbora.functions.normalise import normalise
 from arbora.model import STRICT, Config, Threshold, hard
@@ -34,11 +34,14 @@ def fingerprint_trees(df: DataFrame, ir: str, config: Config = STRICT, threshold
     names = df.columns
     at, own = names.index(ir), names.index(self_name) if self_name else None
     parse = PARSERS[kind]
+    by_shape = kind == "ir" and not passes and threshold is None
 
-    def one(text: str | None, name: str | None):
+    def one(text: str | None, name: str | None, hasher):
         if text is None:
             return None, None, None, "no tree"
         try:
+            if hasher:
+                return *hasher(text), None, None
             tree = parse(text)
             if passes:
                 tree = normalise(tree, name, passes, strict_fix, keep_mutable)
@@ -47,9 +50,10 @@ def fingerprint_trees(df: DataFrame, ir: str, config: Config = STRICT, threshold
             return None, None, None, str(e) or type(e).__name__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = text_hasher(config) if by_shape else None
         for b in batches:
             own_names = b.column(own).to_pylist() if own is not None else [None] * b.num_rows
-            rows = [one(t, n) for t, n in zip(b.column(at).to_pylist(), own_names)]
+            rows = [one(t, n, hasher) for t, n in zip(b.column(at).to_pylist(), own_names)]
             bags = [None if r[2] is None else [{"weight": w, "digest": d} for w, d in r[2]] for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(bags, _BAG), pa.array([r[3] for r in rows], pa.string())],

@@ -124,10 +124,13 @@ def _kinds_sql(sort: bool, names: bool) -> str:
 def _kinds(spark: SparkSession, sf: str, config) -> DataFrame:
     forms = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(text).alias("ir")) for kind, (text, _) in KINDS.items()])
     quoted = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    rows = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", F.explode(forms).alias("f"))
+    parts = table(spark, sf, "part").select("p_partkey", *[quoted(F.col(c)).alias(c) for c in ("p_name", "p_brand", "p_type")])
+    # A part becomes a tree per kind, so that a file of one task would hold back all others.
+    spread = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    rows = spread.select("p_partkey", "p_name", "p_brand", "p_type", F.explode(forms).alias("f"))
     text = F.col("f.ir")
     for mark, column in (("%n", "p_name"), ("%b", "p_brand"), ("%t", "p_type")):
-        text = F.replace(text, F.lit(mark), quoted(F.col(column)))
+        text = F.replace(text, F.lit(mark), F.col(column))
     hashed = fingerprint.fingerprint_trees(rows.select(F.col("p_partkey").alias("part"), "f.kind", text.alias("ir")), "ir", config, with_subs=False)
     return hashed.where("error is null").select("part", "kind", "weight", "digest")
 

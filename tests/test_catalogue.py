@@ -1,6 +1,7 @@
 """Every query of the core against its SQL, or at least for rows, on the smallest tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from arbora.plans import catalogue
 
@@ -20,3 +21,7 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(catalogue.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_strict_kinds_of_a_small_file_take_all_tasks(spark, sf):
+    assert catalogue.QUERIES["node_kinds_strict"](spark, sf).select(F.spark_partition_id()).distinct().count() == 4

@@ -6,10 +6,12 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from arbora.functions.hashing import hash_tree
+from arbora.functions import hashing
+from arbora.functions.hashing import OFTEN, hash_tree, text_hasher
 from arbora.functions.irtree import Node, TreeError, parse_tree, print_tree
 from arbora.functions.normalise import inline_all, normalise, rename_locals, substitute
 from arbora.model import LOOSE, STRICT, hard, percent
+from arbora.plans.tree_queries import KINDS
 from arbora.sources.nested import html_tree, json_tree, text_tree
 
 OPT = '(Lifthenelse (Lvar "1") (Lprim "Pfield0" (Lvar "1")) (Lconst))'
@@ -202,3 +204,46 @@ def test_other_sources():
     assert print_tree(t) == '(Lprim "document" (Lprim "div" (Lprim "p" (Lvar "a") (Lprim "br") (Lvar "b")) (Lprim "p" (Lvar "c"))))'
     assert json_tree({"b": [1, None], "a": "x"}) == json_tree({"a": "x", "b": [1, None]})
     assert print_tree(text_tree("a b\n\nc")) == '(Lprim "text" (Lprim "line" (Lvar "a") (Lvar "b")) (Lprim "line" (Lvar "c")))'
+
+
+#: Strings that are marks of the text, directions, escapes or nothing.
+ODD = ["a", "", "none", "up", "consts", "->", ") (", "\0", "\0001\0", "\n", "é", '\\"', "\\\\", '\\\\\\"', "\\a"]
+#: Texts of the same shape that aren't the same kind of tree, aren't trees, or spell their strings otherwise.
+SHAPED = ['(Lfor "i" (Lvar "%n") (Lconst) "%b" (Lvar "%t"))', '(Lstringswitch (Lvar "%n") "%b" ["k" -> (Lvar "%t")])', '(Lsend "%n" (Lvar "%b") (Lvar "%t"))', '(Lconst "%n")', ' (Lvar "%n") ', '(Lvar "%n"', '(Lvar "%n" "%b")', '("Lvar" "%n")', '(Lvar "%n)', '(Lvar %n")', "(Lvar %n)",
+          '(Lstaticcatch (Lconst) ["%n" "%b"] (Lvar "%t"))', '(Lswitch (Lvar "x") consts["%n" -> (Lvar "%b"), "%t" -> (Lconst)] blocks["%n" -> (Lconst)] default="%b")', '(Lprim "%n""%b")', '(Lprim\\"%n" (Lvar "%b"))', '(Lletrec [("%n" (Lconst)) ("%b" (Lvar "%t"))] (Lvar "%n"))', '\0(Lvar "%n")']
+
+
+def _or_error(f):
+    try:
+        return f()
+    except ValueError as e:
+        return str(e)
+
+
+def _same_by_shape(config):
+    by_shape, rng = text_hasher(config), random.Random(1)
+    for text in [t for t, _ in KINDS.values()] + SHAPED:
+        for _ in range(OFTEN + 40):
+            filled = text.replace("%n", rng.choice(ODD)).replace("%b", rng.choice(ODD)).replace("%t", rng.choice(ODD))
+            assert _or_error(lambda: by_shape(filled)) == _or_error(lambda: hash_tree(parse_tree(filled), config)[:2]), filled
+
+
+def test_hashes_by_shape_are_those_of_the_trees_strict():
+    _same_by_shape(STRICT)
+
+
+def test_texts_of_a_shape_are_parsed_a_few_times(monkeypatch):
+    parsed = []
+    monkeypatch.setattr(hashing, "parse_tree", lambda text: parsed.append(text) or parse_tree(text))
+    by_shape = text_hasher(STRICT)
+    for i in range(500):
+        by_shape(f'(Lapply (Lvar "{i}") (Lvar "x"))')
+    assert len(parsed) == OFTEN + 1  # and the shape, for its program
+
+
+def test_more_shapes_than_are_kept(monkeypatch):
+    monkeypatch.setattr(hashing, "SHAPES", 3)
+    by_shape = text_hasher(STRICT)
+    for i in range(300):
+        text = f'(Lprim p{i % (5 if i < 150 else 2)} (Lvar "{i}"))'
+        assert by_shape(text) == hash_tree(parse_tree(text), STRICT)[:2]
