@@ -53,7 +53,7 @@ def fingerprint_trees(df: DataFrame, ir: str, config: Config = STRICT, threshold
         hasher = text_hasher(config) if by_shape else None
         for b in batches:
             own_names = b.column(own).to_pylist() if own is not None else [None] * b.num_rows
-            rows = [one(t, n, hasher) for t, n in zip(b.column(at).to_pylist(), own_names)]
+            rows = [one(t, n, hasher) for t, n in zip(b.column(at).to_numpy(zero_copy_only=False).tolist(), own_names)]  # faster than to_pylist
             bags = [None if r[2] is None else [{"weight": w, "digest": d} for w, d in r[2]] for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(bags, _BAG), pa.array([r[3] for r in rows], pa.string())],

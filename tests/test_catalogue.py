@@ -25,3 +25,7 @@ def test_entry(spark):
 
 def test_strict_kinds_of_a_small_file_take_all_tasks(spark, sf):
     assert catalogue.QUERIES["node_kinds_strict"](spark, sf).select(F.spark_partition_id()).distinct().count() == 4
+
+
+def test_loose_kinds_of_a_small_file_take_all_tasks(spark, sf):
+    assert catalogue.QUERIES["node_kinds_loose"](spark, sf).select(F.spark_partition_id()).distinct().count() == 4

@@ -232,6 +232,10 @@ def test_hashes_by_shape_are_those_of_the_trees_strict():
     _same_by_shape(STRICT)
 
 
+def test_hashes_by_shape_are_those_of_the_trees_loose():
+    _same_by_shape(LOOSE)
+
+
 def test_texts_of_a_shape_are_parsed_a_few_times(monkeypatch):
     parsed = []
     monkeypatch.setattr(hashing, "parse_tree", lambda text: parsed.append(text) or parse_tree(text))
